@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 #: Bytes of text that a Python worker handles as one numpy block; bounds its memory whatever the rows hold.
 BLOCK_BYTES = 2 << 20
 
@@ -23,10 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut and lost executors cost nothing that was done."""
     path = f"{shared_dir(df.sparkSession)}/quadloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -39,6 +41,8 @@ def discard(df: DataFrame) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the input folder, by Spark alone; the package goes to the workers with the first read."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

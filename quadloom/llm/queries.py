@@ -10,6 +10,18 @@ from .common import read_table
 SHARDS = 40
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import secret_spans
+
+    return secret_spans(read_table(spark, sf_dir, "documents"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_column
+
+    return media_column(read_table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
