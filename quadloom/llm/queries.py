@@ -10,6 +10,12 @@ from .common import read_table
 SHARDS = 40
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack_documents
+
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import secret_spans
 
