@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, shared_dir
 
 SHARDS = 40
 
@@ -41,6 +43,12 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rollup import rollup_documents
+
+    return rollup_documents(read_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/quadloom/rollup-{uuid.uuid4().hex}")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import Topology, shard_documents
 
