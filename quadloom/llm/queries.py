@@ -43,6 +43,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_column
 
