@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -32,6 +32,22 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a frame that may be broadcast: two longs each, 32 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def drop_rows(df: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``keys`` are in ``gone`` (a materialised frame): broadcast while few, joined by shuffle beyond."""
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    keyed = df.withColumns(keys)
+    same = [keyed[k].eqNullSafe(F.col(f"{k}_gone")) if k != "_k" else keyed[k] == F.col(f"{k}_gone") for k in keys]
+    side = gone.select(*[F.col(k).alias(f"{k}_gone") for k in keys])
+    match = same[0]
+    for x in same[1:]:
+        match = match & x
+    return keyed.join(F.broadcast(side) if few else side, match, "left_anti").select(*df.columns)
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a frame made by ``materialise`` once nothing lazy refers to it any more."""
     spark = df.sparkSession

@@ -225,6 +225,26 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str, pass_bytes: int) -
     yield own
 
 
+def without_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no test window (nor a shorter item whole): removed where they are found, nothing is joined."""
+    indexes = [docs.sparkSession.sparkContext.broadcast(TestIndex(items, window)) for items in _passes(benchmark, item_col, item_text_col, pass_bytes)]
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raw, offs = text_bytes(batch.column(at))
+            for rows in blocks(np.diff(offs)):
+                own = offs[rows.start : rows.stop + 1]
+                clean = np.ones(rows.stop - rows.start, bool)
+                for index in indexes:
+                    clean &= [not x for x in scan_block(raw[own[0] : own[-1]], own - own[0], index.value)[2]]
+                yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES
 ) -> DataFrame:
