@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -25,3 +27,34 @@ def ship_package(spark: SparkSession) -> None:
                 z.write(p, f"quadloom/{p.relative_to(root)}")
         spark.sparkContext.addPyFile(target)
     _shipped.add(app)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="quadloom-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage is cut and lost executors cost nothing that was done."""
+    path = f"{shared_dir(df.sparkSession)}/quadloom/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", compression).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def storage_level(name: str) -> StorageLevel | None:
+    """A storage level by its Spark name; NONE is None."""
+    if name.upper() == "NONE":
+        return None
+    try:
+        return getattr(StorageLevel, name.upper())
+    except AttributeError:
+        raise ValueError(f"unknown storage level {name!r}") from None
+
+
+def keep(df: DataFrame, level: str) -> DataFrame:
+    found = storage_level(level)
+    return df if found is None else df.persist(found)
