@@ -13,27 +13,34 @@ from ..config import ErrorHandling, ParserConfig
 
 QUAD_SCHEMA = "s string, s_kind string, p string, o string, o_kind string, o_datatype string, o_lang string, g string"
 QUAD_COLUMNS = ["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang", "g"]
-#: Non-characters that no text holds: between parts, and for an escaped backslash.
-_SEP, _BACKSLASH = "﷐", "﷑"
+#: Non-characters that no text holds: between parts, for an escaped backslash and for an escaped quote.
+_SEP, _BACKSLASH, _QUOTE = "\ufdd0", "\ufdd1", "\ufdd2"
 _IRI, _BLANK = r'<[^<>"\s]*>', r"_:[^\s<>\"]+"
-_STATEMENT = rf"""^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|"(?:[^"\\]|\\.)*")(?:\^\^({_IRI})|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"""
+#: Escaped quotes are marked beforehand, so a literal is a plain run: matching it needs no stack, however long it is.
+_STATEMENT = rf"""^\s*({_IRI}|{_BLANK})\s*({_IRI})\s*({_IRI}|{_BLANK}|"[^"]*")(?:\^\^({_IRI})|@([A-Za-z]+(?:-[A-Za-z0-9]+)*))?\s*({_IRI}|{_BLANK})?\s*\.\s*(?:#.*)?$"""
 
 
 def _decoded(text: Column, escape: str, digits: int, charset: str) -> Column:
     """``text`` with every \\uXXXX or \\UXXXXXXXX replaced by its character."""
     parts = F.split(text, rf"\\{escape}", -1)
-    one = lambda x: F.when(F.substring(x, 1, digits).rlike(f"^[0-9A-Fa-f]{{{digits}}}$"), F.concat(F.decode(F.unhex(F.substring(x, 1, digits)), charset), F.substring(x, digits + 1, 1 << 30))).otherwise(F.concat(F.lit(f"\\{escape}"), x))
+    one = lambda x: F.when(F.substring(x, 1, digits).rlike(f"^(?!0*[dD][89a-fA-F])[0-9A-Fa-f]{{{digits}}}$" if digits == 4 else r"^000[0-9A-Fa-f]{5}$|^0010[0-9A-Fa-f]{4}$"), F.concat(F.decode(F.unhex(F.substring(x, 1, digits)), charset), F.substring(x, digits + 1, 1 << 30))).otherwise(F.concat(F.lit(f"\\{escape}"), x))
     return F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), one), ""))
 
 
-def unescape(text: Column) -> Column:
-    x = F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH))
-    x = _decoded(x, "u", 4, "UTF-16BE")
-    x = _decoded(x, "U", 8, "UTF-32")
-    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ('\\"', '"'), ("\\'", "'")):
+def _marked(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit("\\\\"), F.lit(_BACKSLASH)), F.lit('\\"'), F.lit(_QUOTE))
+
+
+def _unmarked(text: Column) -> Column:
+    """``text``, whose escaped backslashes and quotes are marked, without escapes."""
+    x = _decoded(_decoded(text, "u", 4, "UTF-16BE"), "U", 8, "UTF-32")
+    for a, b in (("\\t", "\t"), ("\\n", "\n"), ("\\r", "\r"), ("\\b", "\b"), ("\\f", "\f"), ("\\'", "'")):
         x = F.replace(x, F.lit(a), F.lit(b))
-    x = F.replace(x, F.lit(_BACKSLASH), F.lit("\\"))
-    return F.when(text.contains("\\"), x).otherwise(text)
+    return F.replace(F.replace(x, F.lit(_QUOTE), F.lit('"')), F.lit(_BACKSLASH), F.lit("\\"))
+
+
+def unescape(text: Column) -> Column:
+    return F.when(text.contains("\\"), _unmarked(_marked(text))).otherwise(text)
 
 
 def escape(text: Column) -> Column:
@@ -44,12 +51,13 @@ def escape(text: Column) -> Column:
 
 def parse_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Quads of statement lines, plus ``line`` and ``ok`` (whether the line is a statement). Blank and comment lines go."""
-    line = F.translate(F.col(column), _SEP + _BACKSLASH, "")
+    line = F.translate(F.col(column), _SEP + _BACKSLASH + _QUOTE, "")
     text = lines.select(line.alias("line")).filter(~F.col("line").rlike(r"^\s*(#.*)?$"))
-    found = text.withColumn("_x", F.split(F.regexp_replace("line", _STATEMENT, _SEP + _SEP.join(f"${i}" for i in range(1, 7)) + _SEP), _SEP, -1))
+    raw = F.split(F.regexp_replace(_marked(F.col("line")), _STATEMENT, _SEP + _SEP.join(f"${i}" for i in range(1, 7)) + _SEP), _SEP, -1)
+    found = text.withColumn("_r", raw).withColumn("_x", F.when(F.col("line").contains("\\"), F.transform("_r", _unmarked)).otherwise(F.col("_r"))).drop("_r")
     part = lambda i: F.get(F.col("_x"), i)
     inner = lambda c: F.substring(c, F.lit(2), F.length(c) - 2)
-    term = lambda c: F.when(c.startswith("_:"), c).when(c != "", unescape(inner(c)))
+    term = lambda c: F.when(c.startswith("_:"), c).when(c != "", inner(c))
     # a tag or datatype belongs to a literal
     ok = (F.size("_x") == 8) & (part(0) == "") & ((part(3).startswith('"')) | ((part(4) == "") & (part(5) == "")))
     kind = lambda c: F.when(c.startswith('"'), "literal").when(c.startswith("_:"), "blank").otherwise("uri")
