@@ -91,7 +91,10 @@ class CsvPersistor(Persistor):
         frame.write.mode(self.mode).csv(f"{self.folder}/{name}", header=True, escape='"', quoteAll=False, nullValue="", emptyValue='""')
 
     def read_frame(self, spark, name: str, schema) -> DataFrame:
-        return spark.read.schema(schema).csv(f"{self.folder}/{name}", header=True, escape='"', multiLine=True, nullValue=None, emptyValue="")
+        """Read a written table back. A quoted empty field comes in as a mark of its own, as Spark would take it for null."""
+        mark = "\ufdd3"
+        found = spark.read.schema(schema).csv(f"{self.folder}/{name}", header=True, escape='"', multiLine=True, emptyValue=mark)
+        return found.select(*[F.when(F.col(f"`{f.name}`") == mark, "").otherwise(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`") for f in found.schema])
 
 
 class JsonPersistor(Persistor):

@@ -67,7 +67,7 @@ def test_turtle():
     e:b e:p [ e:q (1) ] . e:bad e:missing . e:c e:p e:d. <x> <y> "z" <g> . e:g { e:s e:p e:o . }"""
     found = list(parse_turtle(text))
     good = [q for q, bad in found if q]
-    assert len([bad for _, bad in found if bad]) == 1 and len(good) == 16
+    assert len([bad for _, bad in found if bad]) == 1 and len(good) == 15
     assert ("http://e.org/c", "uri", "http://e.org/p", "http://e.org/d", "uri", None, None, None) in good
     assert ("http://b.org/x", "uri", "http://b.org/y", "z", "literal", None, None, "http://b.org/g") in good
     assert ("http://e.org/s", "uri", "http://e.org/p", "http://e.org/o", "uri", None, None, "http://e.org/g") in good
