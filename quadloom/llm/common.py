@@ -48,6 +48,12 @@ def drop_rows(df: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFr
     return keyed.join(F.broadcast(side) if few else side, match, "left_anti").select(*df.columns)
 
 
+def keep_rows(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is in ``wanted`` (one column, materialised): broadcast while few, joined by shuffle beyond."""
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(wanted) if few else wanted, id_col, "left_semi")
+
+
 def discard(df: DataFrame) -> None:
     """Remove the files behind a frame made by ``materialise`` once nothing lazy refers to it any more."""
     spark = df.sparkSession

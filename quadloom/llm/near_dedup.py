@@ -9,7 +9,9 @@ of at least 0.8 are linked; classes are the connected components.
 4. Components of these links. In buckets that still hold several components, every member outside the leader's component
    is compared with all members of other components: so each pair of a bucket is either compared or already known to be of one
    class, and no link between different texts is lost. Large buckets are dealt in blocks of ``BLOCK`` by ``BLOCK``
-   members, so none is gathered anywhere and what is emitted are links, not pairs.
+   members, so none is gathered anywhere. There a pair is compared in the first band that it shares, and passes on the
+   similarity of its sketches (the multisets themselves up to 512 members, an estimate of five standard deviations
+   below the threshold beyond), so what is emitted are links and hardly any other pair.
 5. Components again.
 
 Null, empty and wordless texts are classes of their own; texts of fewer than five words are one shingle; rows that share
@@ -23,12 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bagminhash import SLOTS, compact, overlap, shingles, signatures
-from .common import blocks, materialise, scan_words, text_bytes
+from .bagminhash import ROWS, SKETCH, SLOTS, compact, overlap, shingles, signatures, sketch, sketch_similarity
+from .common import blocks, keep_rows, materialise, scan_words, text_bytes
 from .components import components
 
 THRESHOLD = 0.8
 ESTIMATE = 0.58
+SKETCH_SLACK = 5 * (0.16 / SKETCH) ** 0.5
 SMALL, BLOCK = 32, 512
 
 
@@ -98,6 +101,25 @@ def shingle_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, weight long, bag binary")
 
 
+def sketches(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and sketch (sorted 32-bit members)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            raw, offs = text_bytes(batch.column(1))
+            for rows in blocks(np.diff(offs) + 160):
+                own = offs[rows.start : rows.stop + 1]
+                n = rows.stop - rows.start
+                doc, key, count, _ = shingles(raw[own[0] : own[-1]], own - own[0])
+                cut = np.searchsorted(doc, np.arange(n + 1))
+                made = [sketch(key[a:b], count[a:b]).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, n), pa.array(made, pa.binary())], names=["id", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, sketch binary")
+
+
 def _bag(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = len(raw) // 12
     return np.frombuffer(raw, np.uint64, n), np.frombuffer(raw, np.uint32, n, 8 * n)
@@ -119,8 +141,8 @@ def likely(pairs: DataFrame, sigs: DataFrame, least: float = ESTIMATE) -> DataFr
 
 def verified(pairs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) whose multisets' weighted Jaccard similarity is at least ``threshold``."""
-    needed = pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct()
-    sets = materialise(shingle_sets(docs.join(needed, id_col, "left_semi"), id_col=id_col, text_col=text_col), "bags")
+    needed = materialise(pairs.select(F.col("a").alias(id_col)).union(pairs.select(F.col("b").alias(id_col))).distinct(), "needed")
+    sets = materialise(shingle_sets(keep_rows(docs, id_col, needed), id_col=id_col, text_col=text_col), "bags")
 
     def run(batches):
         import pyarrow as pa
@@ -141,40 +163,47 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def residual_pairs(members: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
+def residual_pairs(members: DataFrame, roots: DataFrame, sigs: DataFrame, docs: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs (a, b) of one bucket and different components, at least one outside the leader's component and none the leader."""
-    to = roots.select(F.col("id"), F.col("root"))
     lead = roots.select(F.col("id").alias("leader"), F.col("root").alias("lead_root"))
-    placed = members.filter("n > 2").join(to, "id", "left").join(lead, "leader", "left").select("bucket", "id", "leader", "n", F.coalesce("root", "id").alias("root"), F.coalesce("lead_root", "leader").alias("lead_root"))
+    placed = members.filter("n > 2").join(roots.select("id", "root"), "id", "left").join(lead, "leader", "left").select("bucket", "band", "id", "leader", "n", F.coalesce("root", "id").alias("root"), F.coalesce("lead_root", "leader").alias("lead_root"))
     placed = materialise(placed.filter("id <> leader"), "placed")
     rest = placed.filter("root <> lead_root")
     counts = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("nr"))
-    rest = rest.join(counts, "bucket").select("bucket", F.col("id").alias("y"), F.col("root").alias("y_root"), "n", "nr")
-    others = placed.join(counts, "bucket").select("bucket", F.col("id").alias("x"), F.col("root").alias("x_root"), "n", "nr")
+    rest = rest.join(counts, "bucket").select("bucket", "band", F.col("id").alias("y"), F.col("root").alias("y_root"), "n", "nr")
+    others = placed.join(counts, "bucket").select("bucket", "band", F.col("id").alias("x"), F.col("root").alias("x_root"), "n", "nr")
     small = rest.filter(f"n <= {SMALL}").select("bucket", "y", "y_root").join(others.filter(f"n <= {SMALL}").select("bucket", "x", "x_root"), "bucket").filter("x_root <> y_root")
     small = likely(small.select(*_ordered("x", "y")).distinct(), sigs)
 
     # large buckets: blocks of both sides meet in groups (bucket, block of rest, block of others)
+    big_rest, big_others = (materialise(f.filter(f"n > {SMALL}"), "large") for f in (rest, others))
+    needed = materialise(big_others.select(F.col("x").alias(id_col)).union(big_rest.select(F.col("y").alias(id_col))).distinct(), "needed")
+    own = materialise(sketches(keep_rows(docs, id_col, needed), id_col=id_col, text_col=text_col).join(sigs.select("id", "sig"), "id"), "sketches")
     part = lambda c, n: F.pmod(F.xxhash64(c, F.lit("block")), F.ceil(F.col(n) / BLOCK)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.ceil(F.col(n) / BLOCK).cast("int") - 1))
-    sig = sigs.select("id", "sig")
-    big_rest = rest.filter(f"n > {SMALL}").join(sig.withColumnRenamed("id", "y"), "y").select("bucket", part("y", "nr").alias("r"), every("n").alias("c"), F.col("y").alias("id"), F.col("y_root").alias("root"), "sig")
-    big_all = others.filter(f"n > {SMALL}").join(sig.withColumnRenamed("id", "x"), "x").select("bucket", every("nr").alias("r"), part("x", "n").alias("c"), F.col("x").alias("id"), F.col("x_root").alias("root"), "sig")
+    names = ["bucket", "band", "r", "c", "id", "root", "sig", "sketch"]  # named anew, as both sides come from the same tables
+    left = big_rest.join(own.withColumnRenamed("id", "y"), "y").select("bucket", "band", part("y", "nr").alias("r"), every("n").alias("c"), "y", "y_root", "sig", "sketch").toDF(*names)
+    right = big_others.join(own.withColumnRenamed("id", "x"), "x").select("bucket", "band", every("nr").alias("r"), part("x", "n").alias("c"), "x", "x_root", "sig", "sketch").toDF(*names)
 
     def meet(left, right):
         import pandas as pd
 
-        x = np.frombuffer(b"".join(left["sig"]), np.uint16).reshape(-1, SLOTS)
-        y = np.frombuffer(b"".join(right["sig"]), np.uint16).reshape(-1, SLOTS)
-        ids, roots_y = right["id"].to_numpy(), right["root"].to_numpy()
         out = []
-        for i, (me, root) in enumerate(zip(left["id"], left["root"], strict=True)):
-            near = np.flatnonzero(((y == x[i]).sum(1) >= ESTIMATE * SLOTS) & (roots_y != root))
-            out += [(min(me, o), max(me, o)) for o in ids[near].tolist()]
+        if len(left) and len(right):
+            x, y = (np.frombuffer(b"".join(f["sig"]), np.uint16).reshape(-1, SLOTS) for f in (left, right))
+            mine, theirs = ([np.frombuffer(b, np.uint32) for b in f["sketch"]] for f in (left, right))
+            ids, roots_y, band = right["id"].to_numpy(), right["root"].to_numpy(), int(left["band"].iloc[0])
+            for i, (me, root) in enumerate(zip(left["id"], left["root"], strict=True)):
+                same = y == x[i]
+                near = np.flatnonzero((same.sum(1) >= ESTIMATE * SLOTS) & (roots_y != root))
+                near = near[same[near].reshape(len(near), SLOTS // ROWS, ROWS).all(2).argmax(1) == band]  # the first band they share
+                alike = sketch_similarity(mine[i], [theirs[j] for j in near])
+                whole = np.array([len(theirs[j]) < SKETCH and len(mine[i]) < SKETCH for j in near], bool)
+                near = near[alike >= threshold - np.where(whole, 0.005, SKETCH_SLACK)]
+                out += [(min(me, o), max(me, o)) for o in ids[near].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    names = ["bucket", "r", "c", "id", "root", "sig"]  # named anew, as both sides come from the same tables
-    big = big_rest.toDF(*names).groupBy("bucket", "r", "c").cogroup(big_all.toDF(*names).groupBy("bucket", "r", "c")).applyInPandas(meet, "a long, b long")
+    big = left.groupBy("bucket", "r", "c").cogroup(right.groupBy("bucket", "r", "c")).applyInPandas(meet, "a long, b long")
     return small.unionByName(big).distinct()
 
 
@@ -185,15 +214,15 @@ def near_links(docs: DataFrame, *, threshold: float = THRESHOLD, id_col: str = "
     copies = materialise(table.select("id", "k1", "k2").join(first, ["k1", "k2"]).filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")), "copies")
     own = table.join(first.select("k1", "k2", F.col("first").alias("id")), ["k1", "k2", "id"], "left_semi")
     sigs = materialise(own.select("id", "bands", "sig").dropDuplicates(["id", "sig"]), "own")
-    banded = sigs.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("bucket"))
+    banded = sigs.select("id", F.posexplode("bands").alias("band", "key")).select("id", "band", F.xxhash64("band", "key").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = materialise(banded.join(sizes, "bucket").select("bucket", "id", "n").distinct(), "members")
+    members = materialise(banded.join(sizes, "bucket").select("bucket", "band", "id", "n").distinct(), "members")
     degree = members.groupBy("id").agg(F.sum("n").alias("degree"))
     leaders = members.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("l")).select("bucket", (-F.col("l.id")).alias("leader"))
     members = materialise(members.join(leaders, "bucket"), "led")
     star = members.filter("id <> leader").select(*_ordered("id", "leader")).distinct()
     links = materialise(verified(materialise(likely(star, sigs), "likely"), docs, threshold, id_col=id_col, text_col=text_col), "links")
-    more = materialise(residual_pairs(members, components(links), sigs), "residual")
+    more = materialise(residual_pairs(members, components(links), sigs, docs, threshold, id_col=id_col, text_col=text_col), "residual")
     if more.limit(1).count():
         links = materialise(links.union(verified(more, docs, threshold, id_col=id_col, text_col=text_col)).distinct(), "links")
     return links, copies
