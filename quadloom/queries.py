@@ -281,9 +281,9 @@ rt as (select uri, type from roots where c = 1 or type not in (select t from cl
 _PAIRS = _PAIRS.format(t=RDF_TYPE)
 
 
-@query("meta_relations", _PARTY + _PAIRS + f", {_NAMED} select distinct x.name || '_' || y.name as name, x.name from_name, y.name to_name, cast(null as integer) predicate from rel join rt f on f.uri = s join rt g on g.uri = o join n x on x.type = f.type join n y on y.type = g.type")
+@query("meta_relations", _PARTY + _PAIRS + f", {_NAMED} select distinct x.name || '_' || y.name as name, x.name from_name, y.name to_name from rel join rt f on f.uri = s join rt g on g.uri = o join n x on x.type = f.type join n y on y.type = g.type")
 def meta_relations(spark, d):
-    return _converted(spark, d, "_META_Relations")
+    return _converted(spark, d, "_META_Relations").drop("predicate")  # null in this layout
 
 
 # --- relation tables
