@@ -27,7 +27,7 @@ from .common import blocks, materialise, text_bytes
 BUCKETS = 1 << 16
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
-SAMPLE_DOCS = 4000
+SAMPLE_DOCS = 2000
 #: Strength of the next level's prior, in documents, and of a count in the table of declarations.
 SMOOTH, DECLARED_SMOOTH = 20.0, 1.0
 #: Prior share of "und".
@@ -84,8 +84,12 @@ def fit(texts: list[str], declared: list[str], languages: tuple[str, ...] = LANG
                 counts[:, k] += np.bincount(trigrams(own), minlength=BUCKETS)
         # relative to the uniform model
         model = TextModel(languages, (np.log(counts / counts.sum(0)) + np.log(BUCKETS)).astype(np.float32))
-        scores, _ = model.score(raw, offs)
-        label = np.where(scores.max(1) > 0, scores.argmax(1), -1) if len(scores) else label
+        best = [np.zeros((0, len(languages)))]
+        for rows in blocks(np.diff(offs)):
+            own = offs[rows.start : rows.stop + 1]
+            best.append(model.score(raw[own[0] : own[-1]], own - own[0])[0])
+        scores = np.concatenate(best)
+        label = np.where(scores.max(1, initial=-np.inf) > 0, scores.argmax(1), -1)
     return model
 
 
@@ -151,7 +155,8 @@ def identify(
     level = by_suffix.select("_suffix", smoothed(F.col("_ns"), [F.lit(x) for x in root]).alias("_ps"))
     priors = host_counts.join(level, "_suffix").select("_suffix", "_host", smoothed(F.col("_nh"), F.col("_ps")).alias("_prior"))
 
-    fused = scored.join(priors, ["_suffix", "_host"])
+    # written, so that the join deals both sides anew and a hot host's rows can be split
+    fused = scored.join(materialise(priors, "priors"), ["_suffix", "_host"])
     told = F.create_map(*[v for d in languages for v in (F.lit(d), F.array(*[F.lit(said[d, k]) for k in range(len(names))]))])
     logs = F.array(*[
         (F.col("score")[k] if k < len(languages) else F.lit(0.0)) + F.ln(F.col("_prior")[k]) + F.when(F.col("_declared").isNull(), 0.0).otherwise(F.element_at(told, F.coalesce("_declared", F.lit(languages[0])))[k]) for k in range(len(names))
