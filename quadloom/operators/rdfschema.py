@@ -157,12 +157,17 @@ def collect_schema(quads: DataFrame, config: RdfConfig) -> RdfSchema:
     spark = quads.sparkSession
     if config.cache_file and _exists(spark, config.cache_file):
         return load_schema(spark, config.cache_file, config)
-    types = sorted(r[0] for r in type_index(quads, config).collect())
-    predicates = [r[1] for r in sorted(predicate_index(quads).collect())]
+    # types and predicates in one pass over the quads; both are as many as the schema has
+    typing = F.col("p").isin(*config.all_type_predicates, *config.all_subclass_predicates) & (F.col("o_kind") == "uri")
+    seen = quads.select("p", F.when(typing, F.col("o")).alias("type")).distinct().collect()
+    types = sorted({r["type"] for r in seen if r["type"] is not None} | {ERROR_TYPE, RDFS_RESOURCE})
+    found = {r["p"] for r in seen}
+    predicates = sorted(found | set(ERROR_PREDICATES), key=lambda p: p.encode())
+    types.sort(key=lambda t: t.encode())
     names = {}
-    if config.collect_labels:
+    if config.collect_labels and RDFS_LABEL in found:
         names = {r["uri"]: r["label"] for r in labels(quads, spark.createDataFrame([(u,) for u in sorted({*types, *predicates})], "uri string")).collect()}
-    edges = [(r["super"], r["sub"]) for r in class_edges(quads, config).collect()] if config.collect_subclass_graph else []
+    edges = [(r["super"], r["sub"]) for r in class_edges(quads, config).collect()] if config.collect_subclass_graph and found & set(config.all_subclass_predicates) else []
     schema = RdfSchema(config, types, predicates, names, ClassGraph(edges, types))
     if config.cache_file:
         schema.save(spark, config.cache_file)
