@@ -55,7 +55,7 @@ def packed(ids: list[int]) -> bytes:
 class Encoder:
     """Special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str, pattern: str | None = None, most: int = 400_000) -> None:
+    def __init__(self, path: str, pattern: str | None = None, most: int = 150_000) -> None:
         import public_tokenizers
         import tiktoken
 
