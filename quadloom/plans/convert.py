@@ -125,7 +125,6 @@ def convert(spark: SparkSession, source: str | DataFrame, config: ConvertConfig
     bad = None
     if isinstance(source, str):
         quads, bad = read_quads(spark, source, config.parser)
-        quads = materialise(quads, "quads")  # parsed once, read in columns from here on
     else:
         quads = source
     c = analyse(spark, quads, config, sink.reserved_names())
