@@ -1,19 +1,18 @@
 """Line dedup by winnowing over line hashes, in DataFrame operations only.
 
-The tokens are the non-blank lines of a document. For every line at which at least ``min_words`` words remain, the window
-is that line and all lines that start within the next ``min_words`` words; its minimum in the order (most words first,
-then hash) is a fingerprint. The order depends on content alone, and such a window lies inside any run of at least
-``min_words`` words that starts with it, so both copies of a repeated run choose the same fingerprint: it can't be missed.
+The tokens are the non-blank lines of a document. A window is a shortest run of lines of at least ``min_words`` words: one
+starts at every line that has that many words from there on, and one ends at every line that has them up to there. Its
+minimum in the order (most words first, then hash) is its fingerprint. Window and fingerprint depend on content alone, so
+every copy of a repeated run has the same windows with the same fingerprints.
 
-A fingerprint is joined to its first occurrence in the corpus (by id, then place): the first with the same line, with the
-same line and its predecessor, and with the same line and its successor; the contexts keep a common line from hiding the
-passage it stands in. Each match fixes a diagonal. Around the fingerprint, the lines that start within ``min_words`` words
-before or after it are compared with those on the diagonal, which extends the match both ways as far as the runs agree;
-as fingerprints of a run are no further apart than that, their pieces join into the maximal run. Runs of at least
-``min_words`` words are deleted where they occur later; the first occurrence stays.
+Windows are looked up by their fingerprint and the hash of all their lines, so two meet only if they are equal as a whole;
+all but the first occurrence in the corpus (by id, then place) are deleted. This is exact: the windows inside a repeated run
+of at least ``min_words`` words cover it (a line lies in the window that starts at it, in the one that ends at it, or else
+in the one that starts with the run), and each of them is such a run itself. A window that ends at a line and is also the
+one that starts at its first line is looked up once.
 
-All steps are linear in the lines: a line is compared with one earlier place for each of its fingerprints' contexts, never
-with all its copies. Only hashes, places and counts are shuffled, and the texts once, to drop the lines.
+All steps are linear in the lines: there are at most two windows a line, and each is compared with the first of its key,
+never with all copies. Only hashes, places and counts are shuffled, and the texts once, to drop the lines.
 
 Words are counted as spaces plus one. Null text: the row stays, with null text. Null id: the text's hash stands for it.
 Rows with equal id and text are one document. Blank lines are kept and never counted. A document all of whose lines
@@ -37,63 +36,39 @@ def _keys(text_col: str, id_col: str):
 
 
 def line_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """k, t (the document), pos (place among all lines), i (place among non-blank ones), h (hash), nw (words), c (words before it), total."""
+    """k, t (the document), pos (place among all lines), h (hash), nw (words), c (words before it), e (words up to its end), total."""
     k, t = _keys(text_col, id_col)
     lines = docs.filter(F.col(text_col).isNotNull()).select(k.alias("k"), t.alias("t"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
     spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
     lines = lines.filter(F.trim("line") != "").select("k", "t", "pos", string_hash(F.col("line")).alias("h"), (spaces + 1).cast("long").alias("nw"))
     by_doc = W.partitionBy("k", "t")
-    in_order = by_doc.orderBy("pos")
-    return lines.repartition("k", "t").dropDuplicates(["k", "t", "pos"]).select(
-        "k", "t", "pos", "h", "nw",
-        F.row_number().over(in_order).alias("i"),
-        (F.sum("nw").over(in_order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("nw")).alias("c"),
-        F.sum("nw").over(by_doc).alias("total"),
-        F.lag("h").over(in_order).alias("before"),
-        F.lead("h").over(in_order).alias("after"),
-    )
-
-
-def fingerprints(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The window minima: rows (k, t, i) of ``lines``, each once."""
+    e = F.sum("nw").over(by_doc.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
+    return lines.repartition("k", "t").dropDuplicates(["k", "t", "pos"]).select("k", "t", "pos", "h", "nw", (e - F.col("nw")).alias("c"), e.alias("e"), F.sum("nw").over(by_doc).alias("total"))
+
+
+def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """mark (the fingerprint's hash), key (the hash of all lines), k, t, pos (of the line it starts or ends at), places (of its lines)."""
     ahead = W.partitionBy("k", "t").orderBy("c").rangeBetween(0, min_words - 1)
-    least = F.min(F.struct((-F.col("nw")).alias("nw"), F.col("h").alias("h"), F.col("i").alias("i"))).over(ahead)
-    return lines.select("k", "t", "total", "c", least["i"].alias("i")).filter(F.col("total") - F.col("c") >= min_words).select("k", "t", "i").distinct()
+    behind = W.partitionBy("k", "t").orderBy("e").rangeBetween(1 - min_words, 0)
+    run = F.collect_list(F.struct((-F.col("nw")).alias("nw"), "h", "pos"))
+    both = lines.select("k", "t", "pos", "nw", "c", "e", "total", run.over(ahead).alias("ahead"), run.over(behind).alias("behind"), F.min("c").over(behind).alias("from"))
+    one = F.explode(
+        F.array_compact(
+            F.array(
+                F.when(F.col("total") - F.col("c") >= min_words, F.col("ahead")),
+                F.when(F.col("e") - F.col("from") - F.col("nw") >= min_words, F.col("behind")),  # else it starts a window of its first line
+            )
+        )
+    )
+    return both.select("k", "t", "pos", one.alias("x")).select(F.array_min("x")["h"].alias("mark"), F.xxhash64("x.h").alias("key"), "k", "t", "pos", F.col("x.pos").alias("places"))
 
 
 def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines to delete: (k, t, pos), each once."""
-    lines = materialise(line_table(docs, id_col=id_col, text_col=text_col), "lines")
-    marks = lines.join(fingerprints(lines, min_words), ["k", "t", "i"], "left_semi")
-    context = F.explode(
-        F.array(
-            F.struct(F.lit(0).alias("side"), F.lit(0).cast("long").alias("other")),
-            F.struct(F.lit(1).alias("side"), F.coalesce("before", F.lit(-1)).alias("other")),
-            F.struct(F.lit(2).alias("side"), F.coalesce("after", F.lit(-1)).alias("other")),
-        )
-    )
-    marks = materialise(marks.select("k", "t", "i", "c", "nw", "h", context.alias("x")).select("k", "t", "i", "c", "nw", "h", "x.side", "x.other"), "marks")
-    first = marks.groupBy("h", "side", "other").agg(F.min(F.struct("k", "t", "i")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "side", "other", F.col("f.k").alias("k0"), F.col("f.t").alias("t0"), F.col("f.i").alias("i0"))
-    matches = (
-        marks.join(first, ["h", "side", "other"])
-        .filter("not (k = k0 and t = t0 and i = i0)")
-        .select("k", "t", "c", "nw", "k0", "t0", (F.col("i") - F.col("i0")).alias("delta"))
-        .distinct()
-    )
-    # extend both ways: the lines near the fingerprint, each compared with its place on the diagonal
-    near = (
-        matches.withColumnRenamed("c", "cf").withColumnRenamed("nw", "nf")
-        .join(lines.select("k", "t", "i", "c", "nw", "h", "pos"), ["k", "t"])
-        .filter(F.expr(f"c > cf - {min_words} - nw and c < cf + nf + {min_words}"))
-        .select("k", "t", "k0", "t0", "delta", "i", "pos", "nw", "h", (F.col("i") - F.col("delta")).alias("i0"))
-        .distinct()
-    )
-    there = lines.select(F.col("k").alias("k0"), F.col("t").alias("t0"), F.col("i").alias("i0"), "h")
-    equal = near.join(there, ["k0", "t0", "i0", "h"], "left_semi")
-    diagonal = W.partitionBy("k", "t", "k0", "t0", "delta")
-    runs = equal.withColumn("run", F.col("i") - F.row_number().over(diagonal.orderBy("i")))
-    words = F.sum("nw").over(W.partitionBy("k", "t", "k0", "t0", "delta", "run"))
-    return runs.withColumn("words", words).filter(F.col("words") >= min_words).select("k", "t", "pos").distinct()
+    found = materialise(windows(line_table(docs, id_col=id_col, text_col=text_col), min_words), "windows")
+    first = found.groupBy("mark", "key").agg(F.min(F.struct("k", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark", "key", "f")
+    later = found.join(first, ["mark", "key"]).filter("struct(k, t, pos) <> f")
+    return later.select("k", "t", F.explode("places").alias("pos")).distinct()
 
 
 def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

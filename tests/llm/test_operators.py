@@ -406,6 +406,23 @@ def test_line_dedup(spark):
     assert dedup_lines(docs(spark, [texts[9]] * 2, [None, None])).count() == 2
 
 
+def test_line_dedup_finds_every_earlier_copy(spark):
+    """Short quotes of a passage and common lines come first, so that each of its lines has first occurrences elsewhere."""
+    r = random.Random(17)
+    line = lambda n: " ".join(f"w{r.randint(0, 9999)}" for _ in range(n))
+    passage = [line(n) for n in (12, 13, 12, 30)] + [line(9) for _ in range(8)]
+    around = lambda x: [line(r.randint(3, 20)), *x, line(r.randint(3, 20))]
+    texts = [around(passage[a : a + n]) for n in (2, 3, 4) for a in range(0, 12, 2)] + [around(passage) for _ in range(3)]
+    texts += [around(passage[3:7]), around(passage[5:11]), around(passage[1:4]), around(["a b c", "", *passage[4:], " ", *passage[:4]])]
+    few = [line(r.choice([4, 9, 18, 30, 55])) for _ in range(5)]  # every order of few lines: runs hide each other
+    texts += [[r.choice(few) for _ in range(r.randint(1, 9))] for _ in range(60)]
+    texts = ["\n".join(x) for x in texts]
+    rows, dead = {x["doc_id"]: x for x in dedup_lines(docs(spark, texts)).collect()}, brute_lines(texts)
+    for i, t in enumerate(texts):
+        assert rows[i]["text"] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in dead), i
+        assert rows[i]["_n_removed"] == sum((i, k) in dead for k in range(t.count("\n") + 1))
+
+
 # 9 rollups
 
 
