@@ -3,7 +3,8 @@
 The pre-tokeniser's pattern starts a new piece at every space that stands between two non-blank characters, so a text can
 be cut there without changing its ids; the ids of each cut are kept as bytes in a bounded table. A text that has other
 white space next to a space shows it by a cut that is empty or has a blank end: such a text is encoded in one go.
-``tests/llm`` holds the ids against the ``tokenizers`` library.
+Added tokens (such as <|endoftext|>) are those of the JSON file beside the ranks: a text is cut at them first, and the parts
+are encoded on their own. ``tests/llm`` holds the ids against the ``tokenizers`` library.
 
 The vocabulary files stay where they are installed; their path is a parameter.
 """
@@ -11,6 +12,9 @@ The vocabulary files stay where they are installed; their path is a parameter.
 from __future__ import annotations
 
 import base64
+import json
+import os
+import re
 import sys
 from array import array
 
@@ -26,6 +30,19 @@ def vocabulary_path(name: str = DEFAULT_VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens by their strings, from the ``tokenizers`` file of the same name; none where there is no such file."""
+    beside = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(beside):
+        return {}
+    with open(beside, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    for x in tokens:
+        if x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"]:
+            raise ValueError(f"an added token that isn't matched as it stands: {x['content']}")
+    return {x["content"]: x["id"] for x in tokens}
+
+
 class _Odd(Exception):
     """A cut that isn't independent of its neighbours."""
 
@@ -53,9 +70,9 @@ def packed(ids: list[int]) -> bytes:
 
 
 class Encoder:
-    """Special tokens' strings in a text are ordinary text."""
+    """The strings of ``added`` in a text stand for their ids, the longest first; any others are ordinary text."""
 
-    def __init__(self, path: str, pattern: str | None = None, most: int = 150_000) -> None:
+    def __init__(self, path: str, pattern: str | None = None, most: int = 150_000, added: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
@@ -63,9 +80,17 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.plain = tiktoken.Encoding(path, pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.first, self.later = _Known(self.plain, "", most // 8), _Known(self.plain, " ", most)
+        self.added = {x: packed([i]) for x, i in (added or {}).items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
 
     def ids(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
+        for x in self.added:
+            if x in text:
+                return b"".join(self.added[part] if k & 1 else self._ordinary(part) for k, part in enumerate(self.cut(text)))
+        return self._ordinary(text)
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         head, *rest = text.split(" ")
@@ -76,7 +101,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    """One encoder per worker process and vocabulary."""
+    """One encoder per worker process and vocabulary, with the vocabulary's added tokens."""
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, added=added_tokens(path))
     return _encoders[path]

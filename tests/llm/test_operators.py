@@ -95,6 +95,30 @@ def test_ids_equal_the_tokenizers_librarys():
         assert np.frombuffer(own.ids(t), "<u4").tolist() == exact.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_have_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from quadloom.llm.tokens import encoder
+
+    exact, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), random.Random(18)
+    parts = ["<|endoftext|>", "<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "a", " word", "'s", "12", "é", "日本", "<", "don't"]
+    texts = ["", "<|endoftext|>", "a <|endoftext|> b", *("".join(r.choice(parts) for _ in range(r.randint(0, 15))) for _ in range(300)), "x <|endoftext|>" * 700]
+    ids = [exact.encode(t, add_special_tokens=False).ids for t in texts]
+    own = encoder(vocabulary_path())
+    for t, x in zip(texts, ids, strict=True):
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == x, repr(t)
+    assert ids[2] == [64, 220, 50256, 275]
+    df = docs(spark, texts)
+    pieces = collections.defaultdict(list)
+    for x in pack_documents(df).collect():
+        pieces[x["doc_id"]].append((x["start"], x["length"], x["ids_crc32"]))
+    counts = {x["doc_id"]: x["tokens"] for x in count_tokens(df, tokenizer="v1").collect()}
+    for i, x in enumerate(ids):
+        a = np.array([*x, 2], "<u4")
+        assert sorted(pieces[i]) == [(s, n, zlib.crc32(a[s : s + n].tobytes())) for s, n in cut(len(a))] and counts[i] == len(x)
+
+
 def test_packing(spark):
     assert cut(1) == [(0, 1)] and cut(1024) == [(0, 1024)] and cut(2050) == [(0, 2), (2, 1024), (1026, 1024)]
     rows = pack_documents(docs(spark, ODD)).collect()
