@@ -109,42 +109,10 @@ def compact(times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (mixed >> np.uint64(48)).astype(np.uint16), key.view(np.int64)
 
 
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """The sum of the lesser counts of two sorted multisets (keys, counts)."""
-    (x, cx), (y, cy) = (a, b) if len(a[0]) <= len(b[0]) else (b, a)
-    at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
-    if not len(x) or not len(y):
-        return 0
-    same = y[at] == x
-    return int(np.minimum(cx[same], cy[at[same]]).sum())
-
-
-#: Most members of a sketch.
-SKETCH = 512
-
-
-def sketch(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The least ``SKETCH`` of a multiset's 32-bit members (one for each occurrence), sorted; all of them if there are no more."""
-    with np.errstate(over="ignore"):
-        each = np.repeat(keys, counts)
-        turn = (np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
-        members = (mix64(each * _G + turn) >> np.uint64(32)).astype(np.uint32)
-    members.sort()
-    return members[:SKETCH]
-
-
-def sketch_similarity(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
-    """Weighted Jaccard similarity of a sketch with others: exact while sketches are whole, else estimated below the lesser bound."""
-    if not others:
-        return np.zeros(0)
-    sizes = np.array([len(o) for o in others])
-    flat = np.concatenate(others)
-    bound = np.array([o[-1] if len(o) >= SKETCH else 0xFFFFFFFF for o in others], np.uint32)
-    limit = np.minimum(bound, one[-1] if len(one) >= SKETCH else 0xFFFFFFFF)
-    owner = np.repeat(np.arange(len(others)), sizes)
-    at = np.minimum(np.searchsorted(one, flat), len(one) - 1)
-    inside = flat <= limit[owner]
-    both = np.bincount(owner, weights=(one[at] == flat) & inside, minlength=len(others))
-    own = np.searchsorted(one, limit, side="right")
-    theirs = np.bincount(owner, weights=inside, minlength=len(others))
-    return both / np.maximum(own + theirs - both, 1)
+def overlaps(one: tuple[np.ndarray, np.ndarray], keys: np.ndarray, counts: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of the lesser counts of a sorted multiset (keys, counts) with each of several, which lie behind one another from ``starts`` on (none is empty)."""
+    if not len(keys) or not len(one[0]):
+        return np.zeros(len(starts), np.int64)
+    at = np.minimum(np.searchsorted(one[0], keys), len(one[0]) - 1)
+    least = np.where(one[0][at] == keys, np.minimum(one[1][at], counts), 0).astype(np.int64)
+    return np.add.reduceat(least, starts)

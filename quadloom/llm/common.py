@@ -2,64 +2,129 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import materialise, shared_dir, ship_package  # noqa: F401
 
 #: Bytes of text that a Python worker handles as one numpy block; bounds its memory whatever the rows hold.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="quadloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+#: Bytes of an Arrow batch on its way to a Python worker; the session's own bound where that is lower.
+BATCH_BYTES = 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage is cut and lost executors cost nothing that was done."""
-    path = f"{shared_dir(df.sparkSession)}/quadloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def arrow_map(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow`` with the package on the workers, batches of bounded bytes, and scratch memory given back after each task."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if _size(spark.conf.get(_BATCH_CONF, "64m")) > BATCH_BYTES:
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
+
+    def bounded(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(bounded, schema)
+
 
+def _size(text: str) -> int:
+    number, unit = text.lower().rstrip("b").strip(), 1
+    if number[-1:] in "kmgt":
+        number, unit = number[:-1], 1 << (10 * ("kmgt".index(number[-1]) + 1))
+    n = int(number) * unit
+    return n if n > 0 else 1 << 62
 
-#: Rows of a frame that may be broadcast: two longs each, 32 MB at most.
+
+def release_memory() -> None:
+    """Freed pages of this process go back to the system (a worker is kept for later tasks, which may need none of them)."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that no column of ``df`` has (whatever its case)."""
+    used, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in used:
+            n = f"_{n}"
+        used.add(n.lower())
+        out.append(n)
+    return out
+
+
+#: Rows of a frame that may be broadcast: a few longs each, 64 MB at most. Beyond, the same join runs by shuffle.
 BROADCAST_ROWS = 1_000_000
 
 
-def drop_rows(df: DataFrame, keys: dict[str, Column], gone: DataFrame) -> DataFrame:
-    """``df`` without the rows whose ``keys`` are in ``gone`` (a materialised frame): broadcast while few, joined by shuffle beyond."""
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    keyed = df.withColumns(keys)
-    same = [keyed[k].eqNullSafe(F.col(f"{k}_gone")) if k != "_k" else keyed[k] == F.col(f"{k}_gone") for k in keys]
-    side = gone.select(*[F.col(k).alias(f"{k}_gone") for k in keys])
-    match = same[0]
-    for x in same[1:]:
-        match = match & x
-    return keyed.join(F.broadcast(side) if few else side, match, "left_anti").select(*df.columns)
+def few(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
+def drop_rows(df: DataFrame, keys: list[Column], gone: DataFrame) -> DataFrame:
+    """``df`` without the rows whose ``keys`` are the columns of ``gone`` (materialised, nulls equal nulls): broadcast while few, joined by shuffle beyond."""
+    mine = fresh(df, *(f"_key{i}" for i in range(len(keys))))
+    theirs = [f"{m}_gone" for m in fresh(df.withColumns(dict(zip(mine, keys, strict=True))), *mine)]
+    keyed, side = df.withColumns(dict(zip(mine, keys, strict=True))), gone.toDF(*theirs)
+    match = F.lit(True)
+    for m, t in zip(mine, theirs, strict=True):
+        match = match & F.col(m).eqNullSafe(F.col(t))
+    return keyed.join(F.broadcast(side) if few(gone) else side, match, "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def keep_rows(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     """The rows of ``df`` whose id is in ``wanted`` (one column, materialised): broadcast while few, joined by shuffle beyond."""
-    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(wanted) if few else wanted, id_col, "left_semi")
+    return df.join(F.broadcast(wanted) if few(wanted) else wanted, id_col, "left_semi")
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files behind a frame made by ``materialise`` once nothing lazy refers to it any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+#: A key is hot beyond this many rows, or beyond a thousandth of all rows if that is more: so at most ``HOT_KEYS`` keys are hot.
+HOT_ROWS, HOT_KEYS = 2000, 1000
+
+
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
+    """``left.join(right, keys)``, ``right`` unique by ``keys``: rows of hot keys stay where they are and meet a broadcast of the few hot rows of ``right``.
+
+    ``left`` is read more than once, so it should be materialised. ``counts`` (keys and n) spares counting its keys. Every
+    key has its rows; none is dropped or capped.
+    """
+    limit = max(HOT_ROWS, left.count() // HOT_KEYS)
+    counts = counts if counts is not None else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.filter(F.col("n") > limit).select(*keys).collect()  # at most HOT_KEYS rows
+    if not hot:
+        return left.join(right, keys, how)
+    found = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
+    cold = left.join(found, keys, "left_anti").join(right, keys, how)
+    return cold.unionByName(left.join(found, keys, "left_semi").join(F.broadcast(right.join(found, keys, "left_semi")), keys, how))
+
+
+def one_of_each(df: DataFrame, keys: list[Column]) -> DataFrame:
+    """``df`` with one row of those that agree in ``keys`` (nulls equal nulls); rows without a double aren't moved."""
+    names = fresh(df, *(f"_same{i}" for i in range(len(keys))))
+    again = df.select(*[k.alias(n) for n, k in zip(names, keys, strict=True)]).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*names)
+    again = materialise(again, "repeated")
+    if not again.limit(1).count():
+        return df
+    keyed = df.withColumns(dict(zip(names, keys, strict=True)))
+    side = again.toDF(*(f"{n}_again" for n in names))
+    match = F.lit(True)
+    for n in names:
+        match = match & F.col(n).eqNullSafe(F.col(f"{n}_again"))
+    single = keyed.join(side, match, "left_semi").dropDuplicates(names).drop(*names)
+    return drop_rows(df, keys, again).unionByName(single)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

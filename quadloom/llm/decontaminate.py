@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, scan_words, text_bytes
+from .common import arrow_map, blocks, scan_words, text_bytes
 
 WINDOW = 8
 PASS_BYTES = 64 << 20
@@ -242,7 +242,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WIND
                     clean &= [not x for x in scan_block(raw[own[0] : own[-1]], own - own[0], index.value)[2]]
                 yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def contamination(
@@ -284,7 +284,7 @@ def contamination(
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_item string, match_start long")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_item string, match_start long")
 
 
 def _union(runs: list[tuple[int, int]]) -> int:

@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import blocks
+from .common import arrow_map, blocks
 from .dom import Tree, parse, tokens
 from .pagegen import labelled_pages
 
@@ -232,4 +232,4 @@ def extract_pages(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
 
     names = [id_col, url_col, "text", "n_chars"]
     kinds = [pages.schema[c].dataType.simpleString() for c in (id_col, url_col)]
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, f"{id_col} {kinds[0]}, {url_col} {kinds[1]}, text string, n_chars long")
+    return arrow_map(pages.select(id_col, url_col, html_col), run, f"{id_col} {kinds[0]}, {url_col} {kinds[1]}, text string, n_chars long")

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, text_bytes
+from .common import arrow_map, blocks, materialise, text_bytes
 
 BUCKETS = 1 << 16
 LANGUAGES = ("de", "en", "es", "fr")
@@ -125,7 +125,7 @@ def score_text(docs: DataFrame, model: TextModel, columns: dict[str, Column], te
     rows = docs.select(*[c.alias(k) for k, c in columns.items()], text.alias("_text"))
     names = [*columns, "score", "letters", "text_language"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, score array<double>, letters long, text_language string")
+    return arrow_map(rows, run, f"{schema}, score array<double>, letters long, text_language string")
 
 
 def identify(

@@ -14,33 +14,39 @@ one that starts at its first line is looked up once.
 All steps are linear in the lines: there are at most two windows a line, and each is compared with the first of its key,
 never with all copies. Only hashes, places and counts are shuffled, and the texts once, to drop the lines.
 
-Words are counted as spaces plus one. Null text: the row stays, with null text. Null id: the text's hash stands for it.
-Rows with equal id and text are one document. Blank lines are kept and never counted. A document all of whose lines
-are deleted gets an empty text. Columns besides id and text pass through.
+Words are runs of characters that are neither blanks nor tabs, line ends, no-break or ideographic spaces; a line without
+words is blank. Null text: the row stays, with null text. Null id: the text's hash stands for it. Ids that aren't whole
+numbers are ordered as strings. Rows with equal id and text are one document. Blank lines are kept and never counted. A
+document all of whose lines are deleted gets an empty text. Columns besides id and text pass through, whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, string_hash
+from .common import fresh, hot_join, materialise, string_hash
 
 MIN_WORDS = 50
+WORD = "[^ \\t\\r\\n\\f\u000b\u00a0\u3000]+"
 
 
-def _keys(text_col: str, id_col: str):
+def _keys(docs: DataFrame, text_col: str, id_col: str) -> tuple[Column, Column]:
+    """Place in the order of documents, never null, and the text's hash."""
     th = F.xxhash64(F.col(text_col))
-    return F.coalesce(F.col(id_col).cast("long"), th), th
+    if isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        return F.coalesce(F.col(id_col).cast("long"), th), th
+    return F.coalesce(F.col(id_col).cast("string"), th.cast("string")), th
 
 
 def line_table(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """k, t (the document), pos (place among all lines), h (hash), nw (words), c (words before it), e (words up to its end), total."""
-    k, t = _keys(text_col, id_col)
+    k, t = _keys(docs, text_col, id_col)
     lines = docs.filter(F.col(text_col).isNotNull()).select(k.alias("k"), t.alias("t"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    spaces = F.octet_length("line") - F.octet_length(F.replace(F.col("line"), F.lit(" "), F.lit("")))
-    lines = lines.filter(F.trim("line") != "").select("k", "t", "pos", string_hash(F.col("line")).alias("h"), (spaces + 1).cast("long").alias("nw"))
+    lines = lines.select("k", "t", "pos", string_hash(F.col("line")).alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("nw")).filter("nw > 0")
     by_doc = W.partitionBy("k", "t")
     e = F.sum("nw").over(by_doc.orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow))
     return lines.repartition("k", "t").dropDuplicates(["k", "t", "pos"]).select("k", "t", "pos", "h", "nw", (e - F.col("nw")).alias("c"), e.alias("e"), F.sum("nw").over(by_doc).alias("total"))
@@ -66,22 +72,20 @@ def windows(lines: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The lines to delete: (k, t, pos), each once."""
     found = materialise(windows(line_table(docs, id_col=id_col, text_col=text_col), min_words), "windows")
-    first = found.groupBy("mark", "key").agg(F.min(F.struct("k", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("mark", "key", "f")
-    later = found.join(first, ["mark", "key"]).filter("struct(k, t, pos) <> f")
+    first = materialise(found.groupBy("mark", "key").agg(F.min(F.struct("k", "t", "pos")).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "repeated")
+    later = hot_join(found, first.select("mark", "key", "f"), ["mark", "key"], counts=first).filter("struct(k, t, pos) <> f")
     return later.select("k", "t", F.explode("places").alias("pos")).distinct()
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without the later repeated runs, with two more columns: _n_lines and _n_removed."""
-    dead = repeated_lines(docs, min_words=min_words, id_col=id_col, text_col=text_col).groupBy("k", "t").agg(F.collect_list("pos").alias("_dead"))
-    k, t = _keys(text_col, id_col)
-    keyed = docs.withColumns({"_k": k, "_t": t}).join(dead.select(F.col("k").alias("_k"), F.col("t").alias("_t"), "_dead"), ["_k", "_t"], "left")
+def dedup_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """The rows of ``docs`` without the later repeated runs, and how many lines each had and lost; columns named like ``counts`` are replaced."""
+    k, t = _keys(docs, text_col, id_col)
+    own_k, own_t, lost, lines = fresh(docs, "_k", "_t", "_lost", "_lines")
+    dead = repeated_lines(docs, min_words=min_words, id_col=id_col, text_col=text_col).groupBy("k", "t").agg(F.collect_list("pos").alias("dead")).toDF(own_k, own_t, lost)
     split = F.split(F.col(text_col), "\n", -1)
-    live = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_dead"))
-    rest = F.array_join(F.transform(live, lambda i: F.get(F.col("_lines"), i)), "\n")
-    return (
-        keyed.withColumn("_lines", split)
-        .withColumn(text_col, F.when(F.col("_dead").isNull(), F.col(text_col)).otherwise(rest))
-        .withColumns({"_n_lines": F.when(F.col("_lines").isNull(), 0).otherwise(F.size("_lines")).cast("long"), "_n_removed": F.when(F.col("_dead").isNull(), 0).otherwise(F.size("_dead")).cast("long")})
-        .select(*docs.columns, "_n_lines", "_n_removed")
-    )
+    live = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(lost))
+    rest = F.array_join(F.transform(live, lambda i: F.get(F.col(lines), i)), "\n")
+    keyed = docs.withColumns({own_k: k, own_t: t}).join(dead, [own_k, own_t], "left").withColumn(lines, split)
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("long")
+    kept = [F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c not in counts]
+    return keyed.select(*kept, size(lines).alias(counts[0]), size(lost).alias(counts[1]))

@@ -18,7 +18,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import blocks, materialise, text_bytes
+from .common import arrow_map, blocks, materialise, text_bytes
 
 RATE, UNIT = 8000, 64
 CODECS = ("mulaw", "alaw", "adpcm")
@@ -159,7 +159,7 @@ def store(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
                     files.append(wave(payload, CODECS[zlib.crc32(payload) % len(CODECS)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(rows.start, rows.stop - rows.start), pa.array(np.diff(offs)[rows]), pa.array(files, pa.binary())], names=[id_col, "n_bytes", "media"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_bytes long, media binary")
 
 
 def analyse(table: DataFrame, *, id_col: str = "doc_id", with_pcm: bool = False) -> DataFrame:
@@ -188,7 +188,7 @@ def analyse(table: DataFrame, *, id_col: str = "doc_id", with_pcm: bool = False)
 
     names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_sha256"] + ["pcm"] * with_pcm
     kind = table.schema[id_col].dataType.simpleString()
-    return table.select(id_col, "n_bytes", "media").mapInArrow(run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_sha256 string" + ", pcm binary" * with_pcm)
+    return arrow_map(table.select(id_col, "n_bytes", "media"), run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_sha256 string" + ", pcm binary" * with_pcm)
 
 
 def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,10 +1,10 @@
-"""Best-fit-decreasing packing of token sequences, exact at any size.
+"""Best-fit-decreasing packing of token sequences: at any size the bins are those of best fit run piece by piece.
 
 Pieces of equal length are exchangeable, and so are bins with equal space left. Best-fit decreasing over the whole corpus
 therefore needs only the number of pieces of each length: at most ``capacity`` numbers, however many documents there are.
 ``plan`` runs it on the driver over that histogram. A segment tree over the remaining capacities holds how many bins are
 open at each; the tightest bin that fits is found by one descent, in logarithmic time. Open bins of equal space are
-ranges of sequence numbers, and a step places as many equal pieces at once as the tightest range has bins. The plan is a
+ranges of sequence numbers, and a step fills a whole range: each of its bins as far as the length goes. The plan is a
 list of intervals: of the pieces of length L, those ranked r to r+n go to sequences s to s+n at offset o. Its size depends
 on the capacity alone.
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import arrow_map, materialise
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 1024
@@ -60,11 +60,16 @@ class SpaceTree:
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
-    """Intervals (length, rank, n, sequence, offset) by best-fit decreasing, sorted by length and rank."""
+    """Intervals (length, rank, n, sequence, offset) by best-fit decreasing, sorted by length and rank.
+
+    A bin that is the tightest for a length stays so while the length still fits it: what is left of it is less than any
+    other bin that fits. So a bin takes floor(space / length) pieces before the next one does, and a range of bins of equal
+    space is filled by that many layers of pieces at once; only the last bin of a length may take fewer.
+    """
     tree, ranges, out, bins = SpaceTree(capacity), {}, [], 0
 
     def put(space: int, first: int, n: int) -> None:
-        if space > 0:
+        if space > 0 and n:
             ranges.setdefault(space, []).append((first, n))
             tree.set(space, True)
 
@@ -74,30 +79,26 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
             raise ValueError(f"a piece of {length} doesn't fit {capacity}")
         while left:
             space = tree.tightest(length)
-            if space is None:
-                # new bins, each filled with this length as far as it goes: what best fit does with equal pieces
-                each = capacity // length
-                full, rest = divmod(left, each)
-                for k in range(each if full else 0):
-                    out.append((length, rank + k * full, full, bins, k * length))
-                put(capacity - each * length, bins, full) if full else None
-                rank, bins = rank + each * full, bins + full
-                for k in range(rest):
-                    out.append((length, rank + k, 1, bins, k * length))
-                if rest:
-                    put(capacity - rest * length, bins, 1)
-                    bins += 1
-                left = 0
-                continue
-            first, n = ranges[space].pop()
-            take = min(n, left)
-            if take < n:
-                ranges[space].append((first + take, n - take))
-            if not ranges[space]:
-                tree.set(space, False)
-            out.append((length, rank, take, first, capacity - space))
-            put(space - length, first, take)
-            rank, left = rank + take, left - take
+            if space is None:  # as many new bins as the rest needs
+                space = capacity
+                first, n = bins, -(-left // (capacity // length))
+                bins += n
+            else:
+                first, n = ranges[space].pop()
+                if not ranges[space]:
+                    tree.set(space, False)
+            each = space // length
+            full = min(n, left // each)
+            rest = left - full * each if full < n else 0  # pieces of the bin that isn't filled up
+            for k in range(each if full else 0):
+                out.append((length, rank + k * full, full, first, capacity - space + k * length))
+            rank, left = rank + each * full, left - each * full
+            for k in range(rest):
+                out.append((length, rank + k, 1, first + full, capacity - space + k * length))
+            rank, left = rank + rest, left - rest
+            put(space, first + full + (rest > 0), n - full - (rest > 0))
+            put(space - rest * length, first + full, 1 if rest else 0)
+            put(space - each * length, first, full)
     table = np.array(out, np.int64).reshape(-1, 5)
     return table[np.lexsort((table[:, 1], table[:, 0]))]
 
@@ -112,7 +113,6 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, *, vocabulary: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length, ids_crc32 of every document's pieces."""
     path = vocabulary or vocabulary_path()
-    end = end_id.to_bytes(4, "little")
 
     def run(batches):
         import pyarrow as pa
@@ -121,25 +121,25 @@ def token_pieces(docs: DataFrame, *, vocabulary: str | None = None, end_id: int
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i in range(batch.num_rows):
-                ids = memoryview(enc.ids(batch.column(1)[i].as_py() or "") + end)
-                for k, (a, n) in enumerate(cut(len(ids) // 4, capacity)):
+                ids = np.append(enc.ids(batch.column(1)[i].as_py()), np.uint32(end_id))
+                for k, (a, n) in enumerate(cut(len(ids), capacity)):
                     row.append(i)
                     piece.append(k)
                     start.append(a)
                     length.append(n)
-                    crc.append(zlib.crc32(ids[4 * a : 4 * (a + n)]))
+                    crc.append(zlib.crc32(ids[a : a + n]))
             columns = [batch.column(0).take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, piece int, start long, length long, ids_crc32 long")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id", bucket_rows: int = 250_000, least_buckets: int = 16) -> DataFrame:
     """``pieces`` with sequence_id and offset, in as few sequences as best-fit decreasing finds."""
     rows = pieces.count()
     buckets = max(least_buckets, -(-rows // bucket_rows))
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece"), F.lit(buckets)).cast("int"))
+    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64(id_col, "piece", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
     sums = materialise(keyed.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     counts = {r["length"]: r["n"] for r in sums.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``capacity`` rows
     table = plan(counts, capacity)
@@ -162,7 +162,7 @@ def pack(pieces: DataFrame, *, capacity: int = CAPACITY, id_col: str = "doc_id",
 
     names = [*pieces.columns, "sequence_id", "offset"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return ranked.mapInArrow(run, f"{schema}, sequence_id long, offset long")
+    return arrow_map(ranked, run, f"{schema}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, *, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

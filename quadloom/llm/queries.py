@@ -64,8 +64,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
-    out = dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import arrow_map
 from .tokens import encoder, vocabulary_path
 
 KEYS = ("source", "lang", "tokenizer")
@@ -34,13 +35,13 @@ def count_tokens(docs: DataFrame, *, tokenizer: str, vocabulary: str | None = No
         enc = encoder(path)
         for batch in batches:
             text = batch.column(3)
-            tokens = [len(enc.ids(text[i].as_py() or "")) // 4 for i in range(batch.num_rows)]
+            tokens = [len(enc.ids(text[i].as_py())) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(tokens, pa.int64()), batch.column(4)], names=names)
 
     names = [id_col, "source", "lang", "tokens", "chars"]
     kind = docs.schema[id_col].dataType.simpleString()
     chars = F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("chars")
-    counted = docs.select(id_col, F.col("source").cast("string"), F.col("lang").cast("string"), text_col, chars).mapInArrow(run, f"{id_col} {kind}, source string, lang string, tokens long, chars long")
+    counted = arrow_map(docs.select(id_col, F.col("source").cast("string"), F.col("lang").cast("string"), text_col, chars), run, f"{id_col} {kind}, source string, lang string, tokens long, chars long")
     return counted.withColumn("tokenizer", F.lit(tokenizer))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from .automaton import Automaton, Rule, compile_rules, scan
-from .common import blocks, text_bytes
+from .common import arrow_map, blocks, text_bytes
 
 #: The base kinds come first, in the order of the report.
 BASE = ("assign", "access", "hex")
@@ -104,4 +104,4 @@ def secret_spans(docs: DataFrame, *, rules: tuple[Rule, ...] = RULES, id_col: st
 
     names = [id_col, "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")

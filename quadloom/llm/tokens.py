@@ -1,12 +1,9 @@
-"""Token ids of a public byte-level BPE, fast: pieces between single spaces are encoded once and looked up afterwards.
+"""Token ids of a public byte-level BPE: ``tiktoken`` over the ranks of the vocabulary file.
 
-The pre-tokeniser's pattern starts a new piece at every space that stands between two non-blank characters, so a text can
-be cut there without changing its ids; the ids of each cut are kept as bytes in a bounded table. A text that has other
-white space next to a space shows it by a cut that is empty or has a blank end: such a text is encoded in one go.
-Added tokens (such as <|endoftext|>) are those of the JSON file beside the ranks: a text is cut at them first, and the parts
-are encoded on their own. ``tests/llm`` holds the ids against the ``tokenizers`` library.
-
-The vocabulary files stay where they are installed; their path is a parameter.
+Added tokens (such as <|endoftext|>) are those of the JSON file beside the ranks and get their ids wherever they stand in a
+text. Null text is empty and has no ids; a text of any length is encoded whole; equal texts have equal ids. ``tests/llm``
+holds the ids against the ``tokenizers`` library. The vocabulary files stay where they are installed; their path is a
+parameter. One encoder per worker process and vocabulary; it keeps no table of texts, so its memory doesn't grow.
 """
 
 from __future__ import annotations
@@ -14,9 +11,6 @@ from __future__ import annotations
 import base64
 import json
 import os
-import re
-import sys
-from array import array
 
 import numpy as np
 
@@ -43,61 +37,20 @@ def added_tokens(path: str) -> dict[str, int]:
     return {x["content"]: x["id"] for x in tokens}
 
 
-class _Odd(Exception):
-    """A cut that isn't independent of its neighbours."""
-
-
-class _Known(dict):
-    """Ids (little-endian 32-bit) by piece; emptied when full, so that its memory stays bounded."""
-
-    def __init__(self, encode, prefix: str, most: int) -> None:
-        super().__init__()
-        self.encode, self.prefix, self.most = encode, prefix, most
-
-    def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace() or piece[-1].isspace():
-            raise _Odd
-        ids = packed(self.encode(self.prefix + piece))
-        if len(piece) < 64:
-            if len(self) >= self.most:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes() if sys.byteorder == "big" else array("I", ids).tobytes()
-
-
 class Encoder:
-    """The strings of ``added`` in a text stand for their ids, the longest first; any others are ordinary text."""
+    """The strings of ``added`` in a text stand for their ids; any others are ordinary text."""
 
-    def __init__(self, path: str, pattern: str | None = None, most: int = 150_000, added: dict[str, int] | None = None) -> None:
+    def __init__(self, path: str, pattern: str | None = None, added: dict[str, int] | None = None) -> None:
         import public_tokenizers
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.plain = tiktoken.Encoding(path, pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.first, self.later = _Known(self.plain, "", most // 8), _Known(self.plain, " ", most)
-        self.added = {x: packed([i]) for x, i in (added or {}).items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")").split
-
-    def ids(self, text: str) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit integers."""
-        for x in self.added:
-            if x in text:
-                return b"".join(self.added[part] if k & 1 else self._ordinary(part) for k, part in enumerate(self.cut(text)))
-        return self._ordinary(text)
-
-    def _ordinary(self, text: str) -> bytes:
-        if not text:
-            return b""
-        head, *rest = text.split(" ")
-        try:
-            return self.first[head] + b"".join(map(self.later.__getitem__, rest))
-        except _Odd:
-            return packed(self.plain(text))
+        self.encoding = tiktoken.Encoding(path, pat_str=pattern or public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added or {})
+
+    def ids(self, text: str | None) -> np.ndarray:
+        """The text's ids as unsigned 32-bit integers."""
+        return self.encoding.encode_to_numpy(text or "", allowed_special="all", disallowed_special=()).astype("<u4", copy=False)
 
 
 def encoder(path: str) -> Encoder:

@@ -8,7 +8,7 @@ import numpy as np
 
 import corpus_pipeline
 from quadloom.llm.packing import cut
-from quadloom.llm.tokens import Encoder, vocabulary_path
+from quadloom.llm.tokens import encoder, vocabulary_path
 from tests.llm.test_operators import TONGUES, brute_classes, brute_hits, brute_lines, prose
 
 
@@ -56,8 +56,8 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     found = collections.defaultdict(dict)
     for x in corpus_pipeline.run(spark, f"file://{tmp_path}").collect():
         found[x["doc_id"]][x["piece"]] = x["ids_crc32"]
-    enc = Encoder(vocabulary_path())
+    enc = encoder(vocabulary_path())
     assert found.keys() == expected.keys()
     for i, t in expected.items():
-        ids = np.append(np.frombuffer(enc.ids(t), "<u4"), 2).astype("<u4")
+        ids = np.append(enc.ids(t), 2).astype("<u4")
         assert found[i] == {k: zlib.crc32(ids[a : a + n].tobytes()) for k, (a, n) in enumerate(cut(len(ids)))}
