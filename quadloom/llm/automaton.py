@@ -148,27 +148,55 @@ class Automaton:
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern`` in the syntax above; ``least`` is the fewest characters of group ``group`` in a match that counts."""
+    """``pattern`` in the syntax above, ``(?i)`` in front for letters of either case; ``least`` is the fewest bytes of a match that counts.
+
+    ``tail``: a class ``[...]`` whose run of one or more ends the match, behind what ``pattern`` matches; then ``least`` is about that run.
+    """
 
     kind: str
     pattern: str
-    group: int = 0
     least: int = 0
+    tail: str = ""
+
+    @property
+    def whole(self) -> str:
+        return self.pattern + (f"{self.tail}+" if self.tail else "")
+
+
+def tree(pattern: str):
+    """The syntax tree of a pattern."""
+    pattern, fold = (pattern[4:], True) if pattern.startswith("(?i)") else (pattern, False)
+    p = _Parser(pattern, fold)
+    found = p.alternatives()
+    if p.i < len(pattern):
+        raise ValueError(f"unbalanced {pattern!r}")
+    return found
+
+
+def mirrored(node):
+    """The tree of the words of ``node`` read backwards."""
+    kind, arg = node
+    if kind == "set":
+        return node
+    if kind == "seq":
+        return ("seq", [mirrored(x) for x in reversed(arg)])
+    return (kind, [mirrored(x) for x in arg] if kind == "or" else mirrored(arg))
 
 
 def compile_rules(rules: tuple[Rule, ...], max_states: int = 60_000) -> Automaton:
+    """One automaton for all rules, begun anew at every byte."""
+    return compile_trees([tree(r.whole) for r in rules], max_states)
+
+
+def compile_trees(trees: list, max_states: int = 60_000, restart: bool = True) -> Automaton:
+    """The minimal automaton of the trees; ``restart``: a match may begin at any byte, else only at the first one."""
     nfa = _Nfa()
     root = nfa.state()
     final: dict[int, int] = {}
-    for k, rule in enumerate(rules):
-        pattern, fold = (rule.pattern[4:], True) if rule.pattern.startswith("(?i)") else (rule.pattern, False)
-        p = _Parser(pattern, fold)
-        tree = p.alternatives()
-        if p.i < len(pattern):
-            raise ValueError(f"unbalanced {pattern!r}")
+    for k, node in enumerate(trees):
         first = nfa.state()
         nfa.link(root, first)
-        final[_build(nfa, tree, first)] = 1 << k
+        final[_build(nfa, node, first)] = 1 << k
 
     # bytes that no rule tells apart form a class
     sets = list({m[0] for m in nfa.move if m})
@@ -188,6 +216,7 @@ def compile_rules(rules: tuple[Rule, ...], max_states: int = 60_000) -> Automato
 
     one = [closure([m[1]]) if m else frozenset() for m in nfa.move]
     begin = closure([root])
+    again = begin if restart else frozenset()
     number, todo, table = {begin: 0}, [begin], []
     while todo:
         nexts = []
@@ -195,7 +224,7 @@ def compile_rules(rules: tuple[Rule, ...], max_states: int = 60_000) -> Automato
             row = []
             moves = [(nfa.move[x][0], one[x]) for x in now if nfa.move[x]]
             for b in sample:
-                then = frozenset().union(begin, *(c for s, c in moves if b in s))
+                then = frozenset().union(again, *(c for s, c in moves if b in s))
                 if then not in number:
                     number[then] = len(number)
                     nexts.append(then)
@@ -222,6 +251,36 @@ def compile_rules(rules: tuple[Rule, ...], max_states: int = 60_000) -> Automato
     return Automaton(classes, (part[step[head]] * len(sample)).astype(small).reshape(-1), accepts[head], len(sample))
 
 
+def longest(auto: Automaton, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Of an automaton without restart: how far the longest match reaches from each start (-1: none), looking no further than ``ends``.
+
+    ``before``: bytes (a mask of 256) of which one must stand right behind the match. All starts step together.
+    """
+    by_class = auto.step.reshape(-1, auto.n_classes)
+    dead = ((by_class == (np.arange(auto.n_states) * auto.n_classes)[:, None]).all(1)) & (auto.accepts == 0)
+    kinds, n = auto.classes[raw], len(raw)
+    found = np.full(len(starts), -1, np.int64)
+    state, at, live = np.zeros(len(starts), np.int64), starts.astype(np.int64).copy(), np.flatnonzero(starts < ends)
+    follows = (lambda x: np.ones(len(x), bool)) if before is None else (lambda x: (x < n) & before[raw[np.minimum(x, n - 1)]])
+    while len(live) > 1 or len(live) == 1 and ends[live[0]] - at[live[0]] < 64:
+        s = auto.step[state[live] + kinds[at[live]]]
+        state[live] = s
+        at[live] += 1
+        s = s // auto.n_classes
+        hit = (auto.accepts[s] != 0) & follows(at[live])
+        found[live[hit]] = at[live[hit]]
+        live = live[~dead[s] & (at[live] < ends[live])]
+    for i in live.tolist():  # one long match is left
+        s, step, nc, ok = int(state[i]), auto.step.tolist(), auto.n_classes, (auto.accepts != 0).tolist()
+        for p in range(int(at[i]), int(ends[i])):
+            s = step[s + int(kinds[p])]
+            if dead[s // nc]:
+                break
+            if ok[s // nc] and follows(np.array([p + 1]))[0]:
+                found[i] = p + 1
+    return found
+
+
 def scan(auto: Automaton, raw: np.ndarray, lanes: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """One pass over ``raw``: for each byte the state behind it (int32), and the positions (ends) at which a rule ended.
 

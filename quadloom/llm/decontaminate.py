@@ -6,23 +6,27 @@ in every shard, doubling level by level; its range of the suffix array gives all
 there the match is extended word by word against the test's own suffix array, by narrowing the interval of test suffixes
 that still agree: the longest verbatim match and its location, without looking at pairs.
 
-Shards are local to a task, so no document is shuffled. The test side is a stated query set: its index is broadcast in
-blocks of at most ``pass_bytes`` of item text each, and every shard goes through the blocks in turn and joins their hits.
+Shards are local to a task, so no document is shuffled. The test side is a stated query set. It goes to the executors in
+passes of at most ``pass_bytes`` of item text: one pass's index at a time is made, broadcast, used by a scan of all
+documents and given up; what the passes find (rows of documents that are hit alone) is written and joined. A benchmark
+that fits one pass, the usual case, needs no join.
 
 Words are runs of ASCII digits and letters (lower-cased) and non-ASCII characters, compared by 64-bit hashes. Null or empty
-texts have no words; items without words have no windows; items with one id count once; null item ids count as "".
+texts have no words; a text of any length is searched whole; items without words have no windows; items with one id count
+once; null item ids count as ""; rows equal in id and text have equal results, rows that share an id only are told apart by
+their texts; an empty table of documents gives no rows, an empty benchmark no hits. ``contamination`` reads no other
+columns, ``without_matches`` carries them along.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, blocks, scan_words, text_bytes
+from .common import arrow_map, blocks, fresh, materialise, scan_words, text_bytes
 
 WINDOW = 8
 PASS_BYTES = 64 << 20
@@ -134,7 +138,12 @@ def shard_hits(words: np.ndarray, index: TestIndex) -> Iterator[tuple[np.ndarray
     if not len(index):
         return
     lengths = sorted(set(index.length.tolist()))
-    rank, test = words.copy(), index.words.copy()
+    rank = words.copy()
+    present = np.zeros(len(index.vocabulary) + 1, bool)
+    present[words] = True
+    test = np.where(present[index.words], index.words, 0)  # a suffix whose first word isn't here ends at once
+    if not test.any():
+        return
     step, level = 1, 0
     at, test_at = np.flatnonzero(rank), np.flatnonzero(test)
     while True:
@@ -172,10 +181,6 @@ def shard_hits(words: np.ndarray, index: TestIndex) -> Iterator[tuple[np.ndarray
         step, level = step * 2, level + 1
 
 
-def _digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def scan_block(raw: np.ndarray, offs: np.ndarray, index: TestIndex):
     """Of a block of texts: words per text, hit intervals [(start, end)], item ids and (longest, item, start) of each."""
     hashes, _, _, first = scan_words(raw, offs)
@@ -214,6 +219,7 @@ def scan_block(raw: np.ndarray, offs: np.ndarray, index: TestIndex):
 
 
 def _passes(benchmark: DataFrame, id_col: str, text_col: str, pass_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """Items in lists of at most ``pass_bytes`` of text (a larger one stands alone); one list at a time is held."""
     own, size = [], 0
     for r in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).alias("t")).toLocalIterator():
         n = 4 * len(r["t"] or "")
@@ -225,71 +231,101 @@ def _passes(benchmark: DataFrame, id_col: str, text_col: str, pass_bytes: int) -
     yield own
 
 
-def without_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
-    """The rows of ``docs`` that hold no test window (nor a shorter item whole): removed where they are found, nothing is joined."""
-    indexes = [docs.sparkSession.sparkContext.broadcast(TestIndex(items, window)) for items in _passes(benchmark, item_col, item_text_col, pass_bytes)]
-    at = docs.columns.index(text_col)
+_FOUND = "n_words long, runs array<struct<a:int,b:int>>, items array<string>, longest_match long, match_item string, match_start long"
+
+
+def _scan(docs: DataFrame, index, keys: list[str], text_col: str, only_hits: bool) -> DataFrame:
+    """The columns ``keys`` of every document (or of those that are hit) and what one pass finds in it."""
+    names = [*keys, "n_words", "runs", "items", "longest_match", "match_item", "match_start"]
 
     def run(batches):
         import pyarrow as pa
 
+        kinds = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         for batch in batches:
-            raw, offs = text_bytes(batch.column(at))
+            raw, offs = text_bytes(batch.column(len(keys)))
             for rows in blocks(np.diff(offs)):
                 own = offs[rows.start : rows.stop + 1]
-                clean = np.ones(rows.stop - rows.start, bool)
-                for index in indexes:
-                    clean &= [not x for x in scan_block(raw[own[0] : own[-1]], own - own[0], index.value)[2]]
-                yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(clean))
+                n_words, runs, items, best = scan_block(raw[own[0] : own[-1]], own - own[0], index.value)
+                pick = [i for i, x in enumerate(items) if x or not only_hits]
+                of = lambda column: column.slice(rows.start, rows.stop - rows.start).take(pa.array(pick, pa.int32()))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(of(batch.column(k)) for k in range(len(keys))), pa.array(n_words[pick].astype(np.int64)), pa.array([[{"a": a, "b": b} for a, b in runs[i]] for i in pick], kinds),
+                        pa.array([items[i] for i in pick], pa.list_(pa.string())), *(pa.array([best[i][k] for i in pick], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))),
+                    ],
+                    names=names,
+                )
 
-    return arrow_map(docs, run, docs.schema)
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return arrow_map(docs.select(*keys, text_col), run, f"{kinds}, {_FOUND}")
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, least_items: int = 2, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES
 ) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, contaminated, longest_match, match_item, match_start (in words)."""
-    spark = docs.sparkSession
-    indexes = [spark.sparkContext.broadcast(TestIndex(items, window)) for items in _passes(benchmark, item_col, item_text_col, pass_bytes)]
-    names = [id_col, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest_match", "match_item", "match_start"]
-
-    def run(batches):
-        import pyarrow as pa
+    context = docs.sparkSession.sparkContext
+    passes = _passes(benchmark, item_col, item_text_col, pass_bytes)
+    items, following = next(passes), next(passes, None)
+    if following is None:
+        found = _scan(docs, context.broadcast(TestIndex(items, window)), [id_col], text_col, False)
+        hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, x: s + (x["b"] - x["a"]))  # runs of one pass don't overlap
+    else:
+        text_key, none = fresh(docs.select(id_col, text_col), "text_key")[0], TestIndex([], window)
+        keyed = docs.select(id_col, text_col, F.xxhash64(text_col).alias(text_key))
+        parts = []
+        while items is not None:
+            index = context.broadcast(TestIndex(items, window))
+            parts.append(materialise(_scan(keyed, index, [id_col, text_key], text_col, True).dropDuplicates([id_col, text_key]), "hits"))
+            index.destroy()
+            items, following = following, next(passes, None)
+        hits = parts[0]
+        for p in parts[1:]:
+            hits = hits.unionByName(p)
+        best = F.max(F.struct("longest_match", F.struct((-F.col("match_start")).alias("s"), "match_item", "match_start").alias("m"))).alias("best")
+        hits = hits.groupBy(id_col, text_key).agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), best)
+        hits = hits.select(F.col(id_col).alias("hit_id"), F.col(text_key).alias("hit_key"), "runs", "items", "best")
+        every = _scan(keyed, context.broadcast(none), [id_col, text_key], text_col, False).select(id_col, text_key, "n_words")
+        joined = every.join(hits, F.col(id_col).eqNullSafe(F.col("hit_id")) & (F.col(text_key) == F.col("hit_key")), "left")
+        empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+        found = joined.select(
+            id_col, "n_words", empty("runs", "array<struct<a:int,b:int>>"), empty("items", "array<string>"),
+            F.coalesce("best.longest_match", F.lit(0)).cast("long").alias("longest_match"), F.col("best.m.match_item").alias("match_item"), F.coalesce("best.m.match_start", F.lit(0)).cast("long").alias("match_start"),
+        )
+        hit = F.size(F.array_distinct(F.flatten(F.transform("runs", lambda x: F.sequence(x["a"], x["b"] - 1))))).cast("long")
+    n_items = F.size("items").cast("long")
+    return found.select(
+        id_col, "n_words", hit.alias("n_hit"), n_items.alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
+        (n_items >= least_items).alias("contaminated"), "longest_match", "match_item", "match_start",
+    )
 
-        for batch in batches:
-            raw, offs = text_bytes(batch.column(1))
-            for rows in blocks(np.diff(offs)):
-                own = offs[rows.start : rows.stop + 1]
-                part, base = raw[own[0] : own[-1]], own - own[0]
-                n = rows.stop - rows.start
-                runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-                items: list[set[str]] = [set() for _ in range(n)]
-                best: list[tuple[int, str | None, int]] = [(0, None, 0)] * n
-                for index in indexes:  # passes: what one finds is joined with the others'
-                    n_words, more, ids, longest = scan_block(part, base, index.value)
-                    for d in range(n):
-                        if ids[d]:
-                            runs[d] += more[d]
-                            items[d].update(ids[d])
-                            best[d] = max(best[d], longest[d], key=lambda x: x[0])
-                hit = [_union(x) for x in runs]
-                sets = [sorted(x) for x in items]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(rows.start, n), pa.array(n_words.astype(np.int64)), pa.array(hit, pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array([_digest(x) for x in sets], pa.string()), pa.array([len(x) >= least_items for x in sets]),
-                        pa.array([b[0] for b in best], pa.int64()), pa.array([b[1] for b in best], pa.string()), pa.array([b[2] for b in best], pa.int64()),
-                    ],
-                    names=names,
-                )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest_match long, match_item string, match_start long")
+def without_matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no test window (nor a shorter item whole): removed where they are found, nothing is joined.
 
+    With several passes each one's remainder but the last is written, so that one index at a time is alive.
+    """
+    at = docs.columns.index(text_col)
 
-def _union(runs: list[tuple[int, int]]) -> int:
-    total, end = 0, 0
-    for a, b in sorted(runs):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+    def clean(rows_in: DataFrame, index) -> DataFrame:
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                raw, offs = text_bytes(batch.column(at))
+                for rows in blocks(np.diff(offs)):
+                    own = offs[rows.start : rows.stop + 1]
+                    found = scan_block(raw[own[0] : own[-1]], own - own[0], index.value)[2]
+                    yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array([not x for x in found], pa.bool_()))
+
+        return arrow_map(rows_in, run, docs.schema)
+
+    passes = _passes(benchmark, item_col, item_text_col, pass_bytes)
+    items, following = next(passes), next(passes, None)
+    while following is not None:
+        index = docs.sparkSession.sparkContext.broadcast(TestIndex(items, window))
+        docs = materialise(clean(docs, index), "clean")
+        index.destroy()
+        items, following = following, next(passes, None)
+    return clean(docs, docs.sparkSession.sparkContext.broadcast(TestIndex(items, window)))

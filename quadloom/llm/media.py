@@ -6,7 +6,9 @@ table; ADPCM is stepped sample by sample with numpy, all blocks of a batch at on
 four-tap half-band filter in integers, so results don't depend on the machine.
 
 Null text is empty (a payload of 64 zero bytes); a text of any length is stored whole; equal texts give equal values. The
-codec follows from the payload's CRC, so a corpus uses all three.
+codec follows from the payload's CRC, so a corpus uses all three. Rows that share an id are described each on its own; an
+empty table gives no rows; other columns are not read. ``with_pcm`` adds the resampled signal itself as a binary column of
+little-endian 16-bit samples, four to eight times the size of the payload.
 """
 
 from __future__ import annotations
@@ -191,6 +193,6 @@ def analyse(table: DataFrame, *, id_col: str = "doc_id", with_pcm: bool = False)
     return arrow_map(table.select(id_col, "n_bytes", "media"), run, f"{id_col} {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_sha256 string" + ", pcm binary" * with_pcm)
 
 
-def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as telephony audio in the shared folder, then read the stored bytes back and describe them."""
-    return analyse(materialise(store(docs, id_col=id_col, text_col=text_col), "media", "zstd"), id_col=id_col)
+def media_column(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_pcm: bool = False) -> DataFrame:
+    """Store every text as telephony audio in the shared folder, then read the stored bytes back, describe them and, if asked for, give their resampled PCM."""
+    return analyse(materialise(store(docs, id_col=id_col, text_col=text_col), "media", "zstd"), id_col=id_col, with_pcm=with_pcm)

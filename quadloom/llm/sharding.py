@@ -8,7 +8,7 @@ subtrees whose weights change. A new shard opens a region of its own, hence it t
 Everything is a JVM expression. Places inside a shard (``slot``) come from counts of (shard, bucket) and a row number
 inside each bucket, so no shard is ever gathered in one task.
 
-Defined results: null ids hash as a fixed value and share a shard; null text is empty; rows with one id share a shard;
+Defined results: null ids hash as a fixed value and share a shard; null text is empty; other columns are not read; rows with one id share a shard;
 rows that are fully equal get different slots in unspecified order; an empty table gives no rows.
 """
 
@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import fresh, materialise, string_hash
+
 
 @dataclass(frozen=True)
 class Shard:
@@ -68,48 +70,54 @@ def _nodes(children: dict[str, float]) -> Column:
 
 def _pick(key: Column, level: str, parent: Column, children: Column) -> Column:
     def draw(c: Column) -> Column:
-        # 52 bits of the hash give u strictly between 0 and 1
-        u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(level), parent, c["name"]), 12).cast("double") + 0.5) / float(2**52)
+        # 60 bits of the hash give u strictly between 0 and 1
+        u = (string_hash(F.concat_ws("|", key, F.lit(level), parent, c["name"])).cast("double") + 0.5) / float(2**60)
         return F.struct((-F.ln(u) / c["weight"]).alias("draw"), c["name"].alias("name"))
 
     return F.array_min(F.transform(children, draw))["name"]
 
 
+def key_text(key: Column) -> Column:
+    """What is hashed for a key of any type; null is a value of its own."""
+    return F.coalesce(key.cast("string"), F.lit("null key"))
+
+
 def assign(df: DataFrame, topology: Topology, key: Column, out: str = "shard") -> DataFrame:
-    """Add ``out``: the number of the shard that ``key`` descends to."""
+    """Add ``out`` (a column of that name is replaced): the number of the shard that ``key`` descends to."""
     regions, racks, leaves = topology.children()
     if not regions:
         raise ValueError("the tree has no shard of positive weight")
     table = lambda m: F.create_map(*[x for k, v in sorted(m.items()) for x in (F.lit(k), _nodes(v))])
-    region, rack = f"_{out}_region", f"_{out}_rack"
+    text, region, rack = fresh(df, "_key", "_region", "_rack")
     return (
-        df.withColumn(region, _pick(key, "region", F.lit(""), _nodes(regions)))
-        .withColumn(rack, F.concat_ws("/", F.col(region), _pick(key, "rack", F.col(region), F.element_at(table(racks), F.col(region)))))
-        .withColumn(out, _pick(key, "shard", F.col(rack), F.element_at(table(leaves), F.col(rack))).cast("int"))
-        .drop(region, rack)
+        df.withColumn(text, key_text(key))
+        .withColumn(region, _pick(F.col(text), "region", F.lit(""), _nodes(regions)))
+        .withColumn(rack, F.concat_ws("/", F.col(region), _pick(F.col(text), "rack", F.col(region), F.element_at(table(racks), F.col(region)))))
+        .withColumn(out, _pick(F.col(text), "shard", F.col(rack), F.element_at(table(leaves), F.col(rack))).cast("int"))
+        .drop(text, region, rack)
     )
 
 
 def shard_documents(docs: DataFrame, topology: Topology, *, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 500_000, least_buckets: int = 64) -> DataFrame:
-    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard and group_id (equal texts, equal value)."""
+    """One row per document: id, size, text_crc32, law, shard, slot, grown_shard and group_id (equal texts, equal value).
+
+    Buckets are dealt by id and text, so rows that share an id (or have none) are spread as well.
+    """
     n_shards = len(topology.shards)
     rows = docs.select(F.col(id_col)).count()
     buckets = max(least_buckets, math.ceil(rows / (n_shards * bucket_rows)))
-    bucket = F.pmod(F.xxhash64(F.col("_id"), F.lit("slot")), F.lit(buckets)).cast("int")
-
-    counts = assign(docs.select(F.col(id_col).alias("_id")), topology, F.col("_id")).groupBy("shard", bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    first = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows_in = docs.select(
-        F.col(id_col).alias("_id"),
-        (F.octet_length(text) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"),
-        F.xxhash64(text).alias("group_id"),
+    group = string_hash(text)
+    bucket = F.pmod(string_hash(F.concat_ws("|", key_text(F.col("_id")), F.col("group_id").cast("string"))), F.lit(buckets)).cast("int")
+    read = docs.select(
+        F.col(id_col).alias("_id"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), group.alias("group_id")
     )
-    placed = assign(assign(rows_in, topology, F.col("_id")), topology.grown(), F.col("_id"), "grown_shard").withColumn("_bucket", bucket)
-    place = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy("_id", "text_crc32"))
+    # texts are read once; what is left of them is written, as counts and rows need it
+    placed = materialise(assign(assign(read, topology, F.col("_id")), topology.grown(), F.col("_id"), "grown_shard").withColumn("_bucket", bucket), "placed")
+    counts = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("shard").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    first = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.row_number().over(W.partitionBy("shard", "_bucket").orderBy("_id", "text_crc32", "group_id"))
     return (
         placed.withColumn("_place", place)
         .join(first, ["shard", "_bucket"])

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quadloom.llm.automaton import compile_rules, scan
+from quadloom.llm.automaton import scan
 from quadloom.llm.bagminhash import compact, overlaps, shingles, signatures
 from quadloom.llm.common import text_bytes
 from quadloom.llm.components import components
@@ -23,8 +23,8 @@ from quadloom.llm.media import CODECS, TABLES, media_column, read, resample, wav
 from quadloom.llm.near_dedup import near_dedup
 from quadloom.llm.packing import SpaceTree, cut, pack_documents, plan
 from quadloom.llm.pagegen import labelled_pages
-from quadloom.llm.rollup import TokenRollup, count_tokens, deletes, inserts
-from quadloom.llm.secrets import RULES, find, joined, scanned, secret_spans
+from quadloom.llm.rollup import TokenRollup, count_tokens, deletes, inserts, revisions, rollup_documents
+from quadloom.llm.secrets import RULES, find, joined, scanner, secret_spans
 from quadloom.llm.sharding import Topology, shard_documents
 from quadloom.llm.tokens import encoder, vocabulary_path
 
@@ -117,7 +117,7 @@ def test_added_tokens_have_their_ids(spark):
     pieces = collections.defaultdict(list)
     for x in pack_documents(df).collect():
         pieces[x["doc_id"]].append((x["start"], x["length"], x["ids_crc32"]))
-    counts = {x["doc_id"]: x["tokens"] for x in count_tokens(df, tokenizer="v1").collect()}
+    counts = {x["id"]: x["tokens"] for x in count_tokens(df, tokenizer="v1").collect()}
     for i, x in enumerate(ids):
         a = np.array([*x, 2], "<u4")
         assert sorted(pieces[i]) == [(s, n, zlib.crc32(a[s : s + n].tobytes())) for s, n in cut(len(a))] and counts[i] == len(x)
@@ -146,21 +146,22 @@ def brute_spans(text):
     out = []
     for k, rule in enumerate(RULES):
         fold = rule.pattern.startswith("(?i)")
-        for m in re.finditer(rule.pattern.replace("(?i)", ""), text, re.A | (re.I if fold else 0)):
-            if len(m[rule.group]) >= rule.least:
+        pattern = rule.pattern.replace("(?i)", "")
+        for m in re.finditer(f"(?:{pattern})(?P<tail>{rule.tail}+)" if rule.tail else f"(?P<tail>{pattern})", text, re.A | (re.I if fold else 0)):
+            if len(m["tail"]) >= rule.least:
                 out.append((m.start(), m.end(), k))
     return sorted(out)
 
 
 def test_secrets_equal_expressions():
-    auto, r = compile_rules(scanned(RULES)), random.Random(4)
-    parts = ["password", "Passwd", "token", "api_key", "APIKEY", ":", "=", " ", '"', "'", "abc", "ABCD", "AKIA", "0123456789", "deadbeef", "é", "\n", "-", "ghp_", "xoxb-", "-----BEGIN RSA PRIVATE KEY-----", "zzz"]
+    own, r = scanner(), random.Random(4)
+    parts = ["password", "Passwd", "token", "api_key", "APIKEY", ":", "=", " ", '"', "'", "abc", "ABCD", "AKIA", "0123456789", "deadbeef", "é", "\n", "-", "ghp_", "xoxb-", "-----BEGIN RSA PRIVATE KEY-----", "zzz", "=", "==", "a" * 30, "/", "_"]
     texts = ["".join(r.choice(parts) for _ in range(r.choice([0, 1, 5, 20, 300]))) for _ in range(800)]
     raw, offs = text_bytes(pa.array(texts))
-    found = dict(find((raw, offs), RULES, auto))
+    found = dict(find((raw, offs), own))
     for i, t in enumerate(texts):
         assert found.get(i, []) == brute_spans(t), repr(t)
-    assert scan(auto, np.frombuffer(b"a" * 5000, np.uint8))[1].tolist() == list(range(23, 5000))
+    assert scan(own.all, np.frombuffer(b"a" * 5000, np.uint8))[1].tolist() == list(range(23, 5000))
 
 
 def test_secret_rows(spark):
@@ -464,17 +465,40 @@ def test_rollup(spark, tmp_path):
     total = lambda: store.totals().groupBy().sum("n_docs", "n_tokens", "n_chars").first()
     n = [len(enc.ids(t)) for t in ODD]
     assert tuple(total()) == (len(ODD), sum(n), sum(len(t or "") for t in ODD))
-    store.commit("b", deletes(counted.filter("doc_id = 7")))
-    revise = inserts(counted.filter("doc_id = 6")).withColumn("op", F.lit("revise")).withColumn("old_tokens", F.col("tokens") - 5)
-    store.commit("c", revise)
+    store.commit("b", deletes(counted.filter("id = 7")))
+    store.commit("c", revisions(counted.filter("id = 6"), F.col("tokens") - 5))
     expected = (len(ODD) - 1, sum(n) - n[7] + 5)
     assert tuple(total())[:2] == expected
-    store.compact()
-    assert tuple(total())[:2] == expected and not store.commit("a", inserts(counted)) and store.committed() == []
+    assert store.compact() and not store.compact()
+    assert tuple(total())[:2] == expected and not store.commit("a", inserts(counted)) and store.open_batches() == [] and store.committed() == ["a", "b", "c"]
     store.commit("d", inserts(counted.limit(0)))
-    assert tuple(total())[:2] == expected
-    with pytest.raises(ValueError):
-        store.commit("x/y", inserts(counted))
+    assert tuple(total())[:2] == expected and store.compact() and tuple(total())[:2] == expected
+    assert not store._claim("commits/d", "another writer")
+    for bad in ("x/y", "", None, "../x"):
+        with pytest.raises(ValueError):
+            store.commit(bad, inserts(counted))
+    with pytest.raises(Exception, match="unknown change"):
+        store.commit("e", inserts(counted).withColumn("op", F.lit("upsert")))
+
+
+def test_rollup_of_documents(spark, tmp_path):
+    """Whatever batches came, replays included: the totals are those of the documents that are left."""
+    enc = encoder(vocabulary_path())
+    texts = [*ODD, *(f"word {i} tokens" for i in range(30))]
+    df = docs(spark, texts).withColumn("tokens", F.lit("clash")).withColumn("id", F.lit("clash"))
+    gone = spark.createDataFrame([(7,), (9,), (9,), (99,), (None,)], "id long")
+    expected = collections.Counter()
+    for i, t in enumerate(texts):
+        if i not in (7, 9):
+            for version, n in (("byte_bpe_50k", len(enc.ids(t))), ("words", len(words(t)))):
+                expected[f"s{i % 3}", "en", version, "docs"] += 1
+                expected[f"s{i % 3}", "en", version, "tokens"] += n
+                expected[f"s{i % 3}", "en", version, "chars"] += len(t or "")
+    got = {}
+    for r in rollup_documents(df, gone, f"file://{tmp_path}/store").collect():
+        got |= {(r["source"], r["lang"], r["tokenizer"], c): r[f"n_{c}"] for c in ("docs", "tokens", "chars")}
+    assert got == dict(expected)
+    assert rollup_documents(df.limit(0), gone, f"file://{tmp_path}/none").count() == 0
 
 
 # 10 shards
