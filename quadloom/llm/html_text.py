@@ -3,11 +3,13 @@
 Every block element and text block is a variable with three states: all below is main text, all below is other matter, or
 both (elements only). Node potentials come from the words of an element's class, id and role, or from a block's length,
 share of links, ending and heading; parent-child potentials say how a child's state follows its parent's, given both
-elements' names and whether the child is unmarked. Both are estimated by counting over labelled pages (``pagegen``: invented layouts, fixed seed, ``TRAINING_PAGES`` of them). Sum-
+elements' names and whether the child is unmarked. Both are estimated by counting over labelled pages (``pagegen``: many layouts, fixed seed, ``TRAINING_PAGES`` of them). Sum-
 product message passing, upward from the leaves and downward from the root, gives every block its exact marginal; blocks
 whose main-text marginal is at least a half are the text. A batch of pages is passed level by level with numpy.
 
 Null or empty html gives an empty text; a page of plain text is one block; nothing is dropped or cut but by the marginals.
+Every row is a page of its own, whatever its id (null, shared or repeated); an empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations

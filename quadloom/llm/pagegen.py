@@ -1,11 +1,15 @@
-"""Labelled pages to train on: invented pages of many layouts whose elements say (``data-y``) whether they are main text.
+"""Labelled pages to train on: pages put together from labelled parts, in the layouts that sites have had over the years.
 
-A fixed seed makes the same pages everywhere. ``data-y`` is read by the trainer only; it is no feature.
+``data-y`` on an element says whether it is main text; it is read by the trainer only and is no feature. The layouts are
+bare documents (text right in the body), tables, sections between header and footer, generic boxes, and named or semantic
+containers. A fixed seed makes the same pages everywhere. Pages written by hand, in other words and for other sites, are in
+the tests and are never trained on.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 #: Words that sites use in class names, by what they mark.
 MENU = "nav navbar navigation menu topnav breadcrumb breadcrumbs tabs toc pager pagination mainmenu submenu dropdown".split()
@@ -87,7 +91,11 @@ class Pages:
 
     def notice(self) -> str:
         inner = self.r.choice((self.prose(2), f"<p>{self.prose(3)}</p><button>{self.sentence(1, 2)}</button>", f"<p>{self.prose(2)} {self.link(self.sentence(1, 3))}</p>"))
-        return self.box(("div", "div", "section", "dialog"), NOTICE, inner, 0, 1.0)
+        html = self.box(("div", "div", "section", "dialog"), NOTICE, inner, 0, 1.0)
+        if self.r.random() < 0.15:  # not shown to readers
+            hide = self.r.choice((" hidden", ' style="display:none"', ' aria-hidden="true"'))
+            html = re.sub(r"^<([a-z]+)[^>]*>", rf'<\1{hide} data-y="0">', html)
+        return html
 
     def form(self) -> str:
         inner = self.r.choice(("<input name=q><button>{0}</button>", "<label>{0}</label><input><button>{1}</button>", "<p>{1}</p><input type=email><button>{0}</button>", "<fieldset><legend>{0}</legend><label>{1}</label></fieldset>"))
@@ -105,7 +113,10 @@ class Pages:
         if x < 0.68:
             text = self.prose(r.choice((1, 1, 3, 6)))
             if r.random() < 0.2:
-                text = f"<b>{text}" + r.choice(("</b>", "<br>", ""))
+                t = r.choice(("b", "i", "em", "strong", "span", "code", "q"))
+                text = f"<{t}>{text}</{t}>" if r.random() < 0.7 else f"<{t}>{text}"
+            if r.random() < 0.1:
+                text += f"<br>{self.sentence()}<br>{self.sentence()}"
             if r.random() < 0.25:
                 text += " " + self.link(self.sentence(1, 4)) + " " + self.sentence()
             return f"<p>{text}" + ("</p>" if r.random() < 0.9 else "")
@@ -144,7 +155,53 @@ class Pages:
             return self.box(("div", "div", "section", "td"), MAIN, inner, 1, 0.85)
         return f'<div data-y="1">{inner}</div>'
 
+    def marked(self, html: str, y: int = 1) -> str:
+        """A block with the label on its own element."""
+        return re.sub(r"^<([a-z0-9]+)", rf'<\1 data-y="{y}"', html)
+
+    def text_blocks(self) -> list[str]:
+        r = self.r
+        head = [f"<h1>{self.sentence(2, 12)}</h1>"] if r.random() < 0.75 else []
+        return head + [f"<p>{self.prose(r.choice((1, 3, 6)))}</p>" if r.random() < 0.8 else self.block() for _ in range(r.choice((1, 2, 3, 5, 8, 14)))]
+
+    def bare_page(self) -> str:
+        """Text right in the body, with or without something around it."""
+        r = self.r
+        some = lambda f, p: f() if r.random() < p else ""
+        blocks = [self.marked(x) for x in self.text_blocks()]
+        if r.random() < 0.25:
+            blocks.insert(r.randint(0, len(blocks)), r.choice((self.advert, self.form, self.share, self.notice))())
+        return some(self.header, 0.3) + some(self.menu, 0.35) + "".join(blocks) + some(self.comments, 0.15) + some(self.share, 0.1) + some(self.footer, 0.45)
+
+    def sections_page(self) -> str:
+        """A header, sections without names, a footer."""
+        r = self.r
+        tag = r.choice(("section", "section", "div"))
+        blocks = self.text_blocks()
+        k = r.randint(1, len(blocks)) if r.random() < 0.4 else len(blocks)
+        body = "".join(f'<{tag} data-y="1">{"".join(x)}</{tag}>' for x in (blocks[:k], blocks[k:]) if x)
+        if r.random() < 0.3:
+            body = f"<{r.choice(('div', 'main'))}>{body}</div>"
+        menu = self.menu() if r.random() < 0.4 else ""
+        return self.header() + menu + body + (self.side() if r.random() < 0.3 else "") + (self.comments() if r.random() < 0.15 else "") + self.footer()
+
+    def table_page(self) -> str:
+        """A layout table: links at one side or above, the text in a cell."""
+        r = self.r
+        cell = f'<td{self.mark(MAIN, 0.4)} data-y="1">{"".join(self.text_blocks())}</td>'
+        side = f'<td{self.mark(MENU + SIDE, 0.5)} data-y="0">{r.choice((self.links(), self.link(self.sentence(1, 2)), f"<p>{self.links()}</p>"))}</td>'
+        row = r.choice((side + cell, cell + side, side + cell + side))
+        top = f'<tr><td colspan=2 data-y="0">{r.choice((self.link(self.word()), self.links(), f"<h1>{self.sentence(1, 3)}</h1>"))}</td></tr>' if r.random() < 0.5 else ""
+        low = f'<tr><td colspan=2 data-y="0">{r.choice((self.links(), f"&copy; 20{r.randint(10, 25)} {self.sentence(1, 5)}"))}</td></tr>' if r.random() < 0.6 else ""
+        return f"<table>{top}<tr>{row}</tr>{low}</table>" + (self.footer() if r.random() < 0.2 else "")
+
     def page(self) -> str:
+        r = self.r
+        x = r.random()
+        body = self.bare_page() if x < 0.1 else self.sections_page() if x < 0.2 else self.table_page() if x < 0.27 else self.usual_page()
+        return f"<!DOCTYPE html><html><head><title>{self.sentence()}</title></head><body>{body}</body></html>"
+
+    def usual_page(self) -> str:
         r = self.r
         some = lambda f, p: f() if r.random() < p else ""
         top = [some(self.notice, 0.2), some(self.header, 0.6), some(self.menu, 0.7), some(self.form, 0.25), some(self.advert, 0.5)]
@@ -155,8 +212,7 @@ class Pages:
             k = r.randint(0, len(low))
             middle = f"<div{self.mark(NEUTRAL, 0.9)}>{middle}{''.join(low[:k])}</div>"
             low = low[k:]
-        body = "".join(top) + middle + "".join(low) + some(self.footer, 0.85)
-        return f"<!DOCTYPE html><html><head><title>{self.sentence()}</title><script>x('<p>')</script></head><body>{body}</body></html>"
+        return "".join(top) + middle + "".join(low) + some(self.footer, 0.85)
 
 
 def labelled_pages(n: int, seed: int = 7) -> list[str]:

@@ -16,13 +16,11 @@ from quadloom.llm.bagminhash import compact, overlaps, shingles, signatures
 from quadloom.llm.common import text_bytes
 from quadloom.llm.components import components
 from quadloom.llm.decontaminate import contamination, without_matches
-from quadloom.llm.html_text import extract, trained
 from quadloom.llm.language import fit, identify_documents, identify_pages
 from quadloom.llm.line_dedup import dedup_lines
 from quadloom.llm.media import CODECS, TABLES, media_column, read, resample, wave
 from quadloom.llm.near_dedup import near_dedup
 from quadloom.llm.packing import SpaceTree, cut, pack_documents, plan
-from quadloom.llm.pagegen import labelled_pages
 from quadloom.llm.rollup import TokenRollup, count_tokens, deletes, inserts, revisions, rollup_documents
 from quadloom.llm.secrets import RULES, find, joined, scanner, secret_spans
 from quadloom.llm.sharding import Topology, shard_documents
@@ -322,36 +320,6 @@ def test_components(spark):
     assert got == {x: top(x) for a, b in links if a != b for x in (a, b)}
 
 
-# 6 main text
-
-
-def test_page_model_held_out():
-    model, right, total = trained(), 0, 0
-    for html in labelled_pages(150, seed=77):
-        from quadloom.llm.dom import parse
-        from quadloom.llm.html_text import _LABEL
-
-        marked, plain = parse(html), parse(re.sub(r' data-y="[01]"', "", html))
-        label = [0] * len(marked.parent)
-        for k in range(1, len(label)):
-            m = _LABEL.search(marked.attrs[k])
-            label[k] = int(m[1]) if m else label[marked.parent[k]]
-        p = model.marginals([plain])[0]
-        for k, t in enumerate(plain.text):
-            if t is not None:
-                total += 1
-                right += (p[k] >= 0.5) == bool(label[k])
-    assert right / total > 0.99
-
-
-def test_page_forms():
-    page = '<html><head><title>no</title><script>var x="</p>"</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><article><h1>A &amp; B</h1><p>One\n two&nbsp;&lt;b&gt;.<p>Three <b>bold</b><br>four.</article><section id="comments"><p>Nice one!</p></section><footer>&copy; me'
-    text = "A & B\n\nOne two <b>.\n\nThree bold four."
-    assert extract([page, None, "", "<", "<p", "<div" * 3000], trained())[:3] == [text, "", ""]
-    deep = "<div>" * 3000 + "x" + "</div>" * 3000
-    assert len(extract([deep], trained())) == 1
-
-
 # 7 media
 
 
