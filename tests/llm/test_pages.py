@@ -150,6 +150,6 @@ def test_page_rows(spark):
     rows = [(1, "u", page, "x", "y"), (1, "u", page, "x", "y"), (1, "v", None, None, None), (None, None, "", "x", None), (2, "w", long_one, "x", "y")]
     found = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars string")).collect()
     assert sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in found), key=str) == sorted(
-        [(1, "u", "\n\n".join(blocks), len("\n\n".join(blocks)))] * 2 + [(1, "v", "", 0), (None, None, "", 0), (2, "w", "\n\n".join(["A sentence that says a little about something."] * 3000), 3000 * 49 - 2)], key=str
+        [(1, "u", "\n\n".join(blocks), len("\n\n".join(blocks)))] * 2 + [(1, "v", "", 0), (None, None, "", 0), (2, "w", "\n\n".join(["A sentence that says a little about something."] * 3000), 3000 * 48 - 2)], key=str
     )
     assert extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
