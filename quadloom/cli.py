@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import argparse
 import sys
+import uuid
 from dataclasses import fields
 from enum import Enum
 
@@ -147,9 +148,21 @@ def main(argv: list[str] | None = None) -> int:
     else:
         from .plans.convert import convert
 
-        convert(spark, config.input_file, config)
+        done = convert(spark, config.input_file, config)
+        if done.bad_records is not None:
+            path = store_bad_records(spark, done.bad_records, config.output.folder)
+            print(f"bad records: {path}")
     return 0
 
 
+def store_bad_records(spark, bad, folder: str | None) -> str:
+    """Write what was no statement, a line each, beside the output or to the shared folder; where it went."""
+    from .session import shared_dir
+
+    path = f"{(folder or shared_dir(spark)).rstrip('/')}/_bad_records-{uuid.uuid4().hex}"
+    bad.write.option("compression", "gzip").json(path)
+    return path
+
+
 if __name__ == "__main__":
     sys.exit(main())

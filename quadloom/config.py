@@ -30,6 +30,7 @@ class SaveMode(str, Enum):
 @dataclass
 class ParserConfig:
     line_based: bool | None = None  # None: by the path's suffix
+    syntax: str | None = None  # of files that aren't line-based: turtle, rdfxml or jsonld; None: by each file's suffix
     repartition: int | None = None
     error_handling: ErrorHandling = ErrorHandling.IGNORE
     accepted_languages: tuple[str, ...] = ()
@@ -120,6 +121,7 @@ class OutputConfig:
     db_schema: str | None = None
     db_batch_size: int = 5000
     db_bulk_load: bool = True
+    db_strict: bool = False  # a key or index that can't be made is an error
     es_index: str | None = None
     es_create_index: bool = True
 

@@ -8,21 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import ERROR_MESSAGE, ERROR_PREDICATES, ERROR_QUAD, ERROR_SUBJECT, ERROR_TYPE, RDF_TYPE, RDFS_LABEL, RDFS_RESOURCE, RDFS_SUBCLASS, ConvertConfig, EntityConfig, InstanceFilterConfig, QuadFilterConfig, RdfConfig, RelationConfig, RelationStrategy
+from .config import ERROR_MESSAGE, ERROR_PREDICATES, ERROR_QUAD, ERROR_SUBJECT, ERROR_TYPE, RDF_TYPE, RDFS_LABEL, RDFS_RESOURCE, RDFS_SUBCLASS, ConvertConfig, EntityConfig, InstanceConfig, InstanceFilterConfig, NamingConfig, ParserConfig, QuadFilterConfig, RdfConfig, RelationConfig, RelationStrategy
 from .functions.naming import clean_name_column, clean_uri_suffix_column, unique_name_column
-from .graphs import BASE, CLASSES, LABELS, ORDERS, PARTY, R, T, graph, graph_sql
+from .graphs import BASE, CLASSES, LABELS, ORDERS, PARTY, R, T, graph, graph_sql, uri
 from .operators.entities import count_by_type, property_stats
-from .operators.facts import collect_facts
+from .operators.facts import classify, collect_facts, facts_of
 from .operators.filters import by_objects, filter_instances, filter_quads, resource_frame, subjects_of_type, type_statements, without_subjects
 from .operators.flavors import WIKIDATA, WikidataFlavor
-from .operators.ids import dense_ids
+from .operators.ids import dense_ids, partition_by_type, type_counts_by_hash
 from .operators.rdfschema import ClassGraph, labels, predicate_index, type_index
 from .operators.stats import approximate_distinct, count_by, top_uris
 from .plans.convert import convert
-from .session import shared_dir
+from .session import materialise, shared_dir
 from .sinks import CsvPersistor, JsonPersistor, MapPersistor
 from .sinks.persistors import copy_column
-from .sources.nquads import QUAD_COLUMNS, accepted_language, parse_lines, to_lines
+from .sources.nquads import QUAD_COLUMNS, accepted_language, parse_lines, read_quads, to_lines
+from .sources.tables import Mapping, triplify
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,6 +74,70 @@ def parse_bad_lines(spark, d):
     return parse_lines(lines).filter("not ok").groupBy("line").agg(F.count(F.lit(1)).alias("n"))
 
 
+_PARSED = f"select s, p, o, k o_kind, dt o_datatype, lang o_lang from ({PARTY_SQL})"
+_SIX = ["s", "p", "o", "o_kind", "o_datatype", "o_lang"]
+
+
+def _folder(spark, name) -> str:
+    return f"{shared_dir(spark)}/quadloom/{name}-{uuid.uuid4().hex}"
+
+
+@query("parse_nquads_gzip", _PARSED)
+def parse_nquads_gzip(spark, d):
+    """Statements in gzipped files of a folder."""
+    path = _folder(spark, "statements")
+    to_lines(graph(spark, d, PARTY)).write.option("compression", "gzip").text(path)
+    return read_quads(spark, path, ParserConfig(line_based=True))[0].select(*_SIX)
+
+
+def _documents(spark, d, name: str, head: str, row, between: str, tail: str) -> str:
+    """A folder of whole documents, one for each subject's first letters: so there are several, and none is a line."""
+    quads = graph(spark, d, PARTY).withColumn("part", F.pmod(F.xxhash64("s"), F.lit(5)))
+    text = quads.groupBy("part").agg(F.concat(F.lit(head), F.array_join(F.collect_list(row), between), F.lit(tail)).alias("value"))
+    path = _folder(spark, name)
+    text.repartition(5, "part").select("value").write.text(path)
+    return path
+
+
+def _escaped(c: str):
+    x = F.col(c)
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
+
+
+@query("parse_rdfxml", _PARSED)
+def parse_rdfxml(spark, d):
+    """The graph as RDF/XML documents."""
+    space = F.regexp_extract("p", "^(.*[#/])[^#/]+$", 1)
+    name = F.regexp_extract("p", "([^#/]+)$", 1)
+    inner = F.when(F.col("o_kind") == "uri", F.concat(F.lit(' rdf:resource="'), _escaped("o"), F.lit('"/>'))).otherwise(
+        F.concat(F.when(F.col("o_datatype").isNotNull(), F.concat(F.lit(' rdf:datatype="'), F.col("o_datatype"), F.lit('"'))).otherwise(""), F.lit(">"), _escaped("o"), F.lit("</x:"), name, F.lit(">"))
+    )
+    row = F.concat(F.lit('<rdf:Description rdf:about="'), _escaped("s"), F.lit('"><x:'), name, F.lit(' xmlns:x="'), space, F.lit('"'), inner, F.lit("</rdf:Description>"))
+    path = _documents(spark, d, "rdfxml", f'<?xml version="1.0"?>\n<rdf:RDF xmlns:rdf="{RDF_TYPE.removesuffix("type")}">\n', row, "\n", "\n</rdf:RDF>")
+    return read_quads(spark, path, ParserConfig(syntax="rdfxml"))[0].select(*_SIX)
+
+
+@query("parse_jsonld", _PARSED)
+def parse_jsonld(spark, d):
+    """The graph as JSON-LD documents."""
+    value = F.when(F.col("o_kind") == "uri", F.to_json(F.struct(F.col("o").alias("@id")))).otherwise(F.to_json(F.struct(F.col("o").alias("@value"), F.col("o_datatype").alias("@type"))))
+    of = F.when(F.col("p") == RDF_TYPE, F.concat(F.lit('"@type":"'), F.col("o"), F.lit('"'))).otherwise(F.concat(F.lit('"r:'), F.substring_index("p", "#", -1), F.lit('":'), value))
+    row = F.concat(F.lit('{"@id":"'), F.col("s"), F.lit('",'), of, F.lit("}"))
+    path = _documents(spark, d, "jsonld", f'{{"@context": {{"r": "{R}"}},\n"@graph": [', row, ",\n", "]}")
+    return read_quads(spark, path, ParserConfig(syntax="jsonld"))[0].select(*_SIX)
+
+
+@query("parse_turtle", _PARSED)
+def parse_turtle(spark, d):
+    """The graph as Turtle documents with a prefix."""
+    obj = F.when(F.col("o_kind") == "uri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(F.concat(F.lit('"'), F.col("o"), F.lit('"'), F.when(F.col("o_datatype").isNotNull(), F.concat(F.lit("^^<"), F.col("o_datatype"), F.lit(">"))).otherwise("")))
+    verb = F.when(F.col("p") == RDF_TYPE, F.lit("a")).otherwise(F.concat(F.lit("r:"), F.substring_index("p", "#", -1)))
+    path = _documents(spark, d, "turtle", f"@prefix r: <{R}> .\n", F.concat_ws(" ", F.concat(F.lit("<"), F.col("s"), F.lit(">")), verb, obj, F.lit(".")), "\n", "\n")
+    return read_quads(spark, path)[0].select(*_SIX)
+
+
 # --- statistics
 
 
@@ -126,7 +191,8 @@ def class_closure(spark, d):
 
 
 def _facts(spark, d, tables=PARTY, schema=True):
-    return collect_facts(graph(spark, d, tables, schema), (RDF_TYPE,), HIERARCHY)
+    """Facts of a graph whose statements are classified once."""
+    return facts_of(materialise(classify(graph(spark, d, tables, schema), (RDF_TYPE,)), "statements"), HIERARCHY)
 
 
 @query("instances", _PARTY + "select id, uri, string_agg(type, ',' order by type) types from it join ids using (uri) group by 1, 2")
@@ -143,17 +209,17 @@ def default_type(spark, d):
 
 @query("literals", f"select s uri, p predicate, case when dt is null then 'STRING' else 'DOUBLE' end ltype, cast(o as varchar) value from ({PARTY_SQL}) where k = 'literal'")
 def literals(spark, d):
-    return _facts(spark, d, PARTY, False).literals.select("uri", "predicate", "ltype", F.explode("values").alias("value"))
+    return collect_facts(graph(spark, d, PARTY), (RDF_TYPE,)).literals.select("uri", "predicate", "ltype", F.explode("values").alias("value"))
 
 
 @query("relation_facts", f"select distinct s uri, p predicate, o object from ({ORDERS_SQL}) where k = 'uri' and p <> '{RDF_TYPE}'")
 def relation_facts(spark, d):
-    return _facts(spark, d, ORDERS, False).relations
+    return collect_facts(graph(spark, d, ORDERS), (RDF_TYPE,)).relations
 
 
 @query("multivalued", f"select s uri, string_agg(distinct o, ',' order by o) flags from ({graph_sql(('lineitem',))}) where k = 'literal' group by 1 having count(distinct o) > 1")
 def multivalued(spark, d):
-    return _facts(spark, d, ("lineitem",), False).literals.filter("size(values) > 1").select("uri", F.array_join("values", ",").alias("flags"))
+    return collect_facts(graph(spark, d, ("lineitem",)), (RDF_TYPE,)).literals.filter("size(values) > 1").select("uri", F.array_join("values", ",").alias("flags"))
 
 
 _BAD = "concat('<{0}event/', cast(event_id as varchar), '> <{1}flag> \"', event_type, '\"^^<http://www.w3.org/2001/XMLSchema#boolean> <{0}g> .')".format(BASE, R)
@@ -185,6 +251,50 @@ def q_property_stats(spark, d):
     return property_stats(f.types, f.literals).drop("lang")
 
 
+_TYPED = {  # datatype: value in Spark, the same in DuckDB, type (null: rejected), canonical value in DuckDB
+    "long": ("cast(l_orderkey * 10000000000 as string)", "cast(l_orderkey * 10000000000 as varchar)", "'LONG'", "cast(l_orderkey * 10000000000 as varchar)"),
+    "boolean": ("case when l_linenumber = 1 then '1' when l_linenumber = 2 then 'false' when l_linenumber = 3 then 'true' else 'yes' end", "case when l_linenumber = 1 then '1' when l_linenumber = 2 then 'false' when l_linenumber = 3 then 'true' else 'yes' end", "case when l_linenumber < 4 then 'BOOLEAN' end", "case l_linenumber when 2 then 'false' else 'true' end"),
+    "dateTime": ("concat('2001-02-0', cast(l_linenumber as string), case when l_linenumber > 2 then 'T10:00:00Z' else '' end)", "'2001-02-0' || cast(l_linenumber as varchar) || case when l_linenumber > 2 then 'T10:00:00Z' else '' end", "case when l_linenumber > 2 then 'DATETIME' end", "'2001-02-0' || cast(l_linenumber as varchar) || 'T10:00:00Z'"),
+    "float": ("concat(cast(l_linenumber as string), '.5')", "cast(l_linenumber as varchar) || '.5'", "'FLOAT'", "cast(l_linenumber as varchar) || '.5'"),
+    "byte": ("cast(l_linenumber * 40 as string)", "cast(l_linenumber * 40 as varchar)", "case when l_linenumber < 4 then 'INTEGER' end", "cast(l_linenumber * 40 as varchar)"),
+    "decimal": ("concat(cast(l_linenumber as string), '.50')", "cast(l_linenumber as varchar) || '.50'", "'STRING'", "cast(l_linenumber as varchar) || '.50'"),
+}
+_TYPED_SQL = " union all ".join(f"select '{d}' datatype, {raw} raw, {t} ltype, case when {t} is null then null else {v} end as value from lineitem" for d, (_, raw, t, v) in _TYPED.items())
+
+
+@query("literal_types", f"select datatype, coalesce(ltype, 'rejected') ltype, coalesce(value, raw) as value, count(*) n from ({_TYPED_SQL}) group by all")
+def literal_types(spark, d):
+    """Values of every other type, and those that their datatype doesn't allow."""
+    q = triplify(spark.read.parquet(f"{d}/lineitem.parquet"), Mapping("'urn:x'", [], [(R + t, v, t, None) for t, (v, *_) in _TYPED.items()]))
+    found = classify(q, (RDF_TYPE,)).select(F.substring_index("o_datatype", "#", -1).alias("datatype"), F.when(F.col("kind") == "error", "rejected").otherwise(F.col("ltype")).alias("ltype"), F.coalesce("value", "o").alias("value"))
+    return found.groupBy("datatype", "ltype", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("default_language", f"select concat('{BASE}doc/', cast(doc_id as varchar)) uri, coalesce(nullif(lang, 'en'), 'none') lang from documents where text is not null")
+def default_language(spark, d):
+    """Tags of the default language go."""
+    found = collect_facts(graph(spark, d, ("documents",)), (RDF_TYPE,), None, InstanceConfig(default_language="en")).literals
+    return found.select("uri", F.coalesce("lang", F.lit("none")).alias("lang"))
+
+
+@query("nul_removed", "select concat('urn:', cast(c_custkey as varchar)) uri, c_name || c_mktsegment as value from customer")
+def nul_removed(spark, d):
+    q = triplify(spark.read.parquet(f"{d}/customer.parquet"), Mapping("concat('urn:', cast(c_custkey as string))", [], [(R + "v", "concat(c_name, char(0), c_mktsegment, char(0))", None, None)]))
+    return collect_facts(q, (RDF_TYPE,)).literals.select("uri", F.col("values")[0].alias("value"))
+
+
+@query("type_partitions", _PARTY + "select types, count(*) n from (select uri, string_agg(type, ',' order by type) types from it group by 1) group by 1")
+def type_partitions(spark, d):
+    """Laid out by type, no instance is lost or doubled."""
+    found = partition_by_type(materialise(dense_ids(_facts(spark, d).instances), "instances"), 4, 100)
+    return found.groupBy(F.array_join("types", ",").alias("types")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("type_hash_counts", _PARTY + "select count(*) n from (select uri, string_agg(type, ',' order by type) types from it group by 1) group by types")
+def type_hash_counts(spark, d):
+    return type_counts_by_hash(_facts(spark, d).instances).select("n")
+
+
 # --- entity, attribute and metadata tables
 
 
@@ -230,6 +340,41 @@ def entity_order(spark, d):
     return _converted(spark, d, "order", ("orders", "lineitem"), False)
 
 
+@query(
+    "entity_order_limited",
+    f"""with q as ({graph_sql(('orders', 'lineitem'))}), u as (select distinct s uri from q union select o from q where k = 'uri' and p <> '{RDF_TYPE}'), ids as (select uri, row_number() over (order by uri) id from u)
+select id as ID, uri as URI, max(case when p = '{R}date' then o end) date, max(case when p = '{R}status' then o end) status from q join ids on uri = s where exists (select 1 from orders where concat('{BASE}order/', cast(o_orderkey as varchar)) = uri) group by 1, 2""",
+)
+def entity_order_limited(spark, d):
+    """The two most frequent properties are columns; ties by predicate. The flag is rarer, as some orders have no items here."""
+    q = graph(spark, d, ("orders",)).unionByName(graph(spark, d, ("lineitem",)).filter(F.substring_index("s", "/", -1).cast("long") % 7 != 0))
+    sink = MapPersistor()
+    convert(spark, q, ConvertConfig(entities=EntityConfig(max_columns=2)), sink)
+    return sink.result["order"].drop("ID").join(dense_ids(_facts(spark, d, ("orders", "lineitem"), False).instances).select(F.col("id").alias("ID"), F.col("uri").alias("URI")), "URI").select("ID", "URI", "date", "status")
+
+
+_BIO = "http://bio2rdf.org/"
+
+
+@query("bio2rdf_names", "select lower(c_mktsegment) || '_resource' entity_name, count(*) num_rows from customer group by 1")
+def bio2rdf_names(spark, d):
+    """Names take the data set from the vocabulary's address."""
+    q = triplify(spark.read.parquet(f"{d}/customer.parquet"), Mapping(f"concat('{_BIO}c:', cast(c_custkey as string))", [f"concat('{_BIO}', lower(c_mktsegment), '_vocabulary:Resource')"], [(R + "name", "c_name", None, None)]))
+    sink = MapPersistor()
+    convert(spark, q, ConvertConfig(flavor="Bio2RDF"), sink)
+    return sink.result["_META_Entities"].select("entity_name", "num_rows")
+
+
+@query("table_names", "select unnest(['nation', 'nation_2', 'customer', 'name_of']) table_name")
+def table_names(spark, d):
+    """A relation named like an entity table gets a number."""
+    q = triplify(spark.read.parquet(f"{d}/customer.parquet"), Mapping(uri("customer", "c_custkey"), [f"'{T}Customer'"], [], [(R + "nation", uri("nation", "c_nationkey")), (R + "name_of", uri("nation", "c_nationkey"))]))
+    q = q.unionByName(triplify(spark.read.parquet(f"{d}/nation.parquet"), Mapping(uri("nation", "n_nationkey"), [f"'{T}Nation'"], [(R + "title", "n_name", None, None)])))
+    sink = MapPersistor()
+    convert(spark, q, ConvertConfig(relations=RelationConfig(strategy=RelationStrategy.PREDICATES)), sink)
+    return spark.createDataFrame([(n,) for n in sink.result if not n.startswith("_")], "table_name string")
+
+
 _EAV = """with q as ({graph}), u as (select distinct s uri from q union select o from q where k = 'uri' and p <> '{t}'), ids as (select uri, row_number() over (order by uri) id from u),
 pr as (select predicate_URI, cast(row_number() over (order by predicate_URI) - 1 as integer) predicate from (select distinct p predicate_URI from q union select unnest({e})))
 select distinct id as ID, predicate, {datatype} datatype, cast(null as varchar) as language, o as value from q join ids on uri = s join pr on p = predicate_URI where {where}"""
@@ -286,6 +431,24 @@ def meta_relations(spark, d):
     return _converted(spark, d, "_META_Relations").drop("predicate")  # null in this layout
 
 
+@query("meta_relations_typed", _PARTY + _PAIRS + f""", {_NAMED}, pr as (select predicate_URI, cast(row_number() over (order by predicate_URI) - 1 as integer) predicate from (select distinct p predicate_URI from q union select unnest({list(ERROR_PREDICATES)})))
+select distinct x.name || '_' || lower(regexp_extract(p, '[^#]+$')) || '_' || y.name as name, x.name from_name, y.name to_name, predicate from rel join rt f on f.uri = s join rt g on g.uri = o join n x on x.type = f.type join n y on y.type = g.type join pr on p = predicate_URI""")
+def meta_relations_typed(spark, d):
+    """The layout in which every column of the relation metadata is filled."""
+    return _converted(spark, d, "_META_Relations", relations=RelationConfig(strategy=RelationStrategy.TYPE_PREDICATES))
+
+
+@query("entity_keys", _PARTY + f""", {_NAMED}, t as (select distinct name, type from it join n using (type)), own as (select t, a from cl where t <> a)
+select 'primary' kind, 'e_' || name table_name, 'ID' column_name, '' referred from t union all select 'index', 'e_' || name, 'URI', '' from t
+union all select 'foreign', 'e_' || t.name, 'ID', 'e_' || b.name from t join own on own.t = t.type join t b on b.type = own.a""")
+def entity_keys(spark, d):
+    """Keys and indexes of the entity tables, with a prefix."""
+    c = convert(spark, graph(spark, d, PARTY, True), ConvertConfig(naming=NamingConfig(entity_prefix="e_")), MapPersistor())
+    m = c.manifest
+    rows = [("primary", t, x, "") for t, x in m.primary_keys] + [("index", t, x, "") for t, x in m.indexes] + [("foreign", t, x, u) for t, x, u, _ in m.foreign_keys]
+    return spark.createDataFrame([r for r in rows if r[1].startswith("e_")], "kind string, table_name string, column_name string, referred string")
+
+
 # --- relation tables
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import json
 import logging
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -43,11 +44,16 @@ class Manifest:
     def ddl(self, quote=lambda name: f'"{name}"', qualify=lambda name: f'"{name}"') -> list[str]:
         return [
             *(f"ALTER TABLE {qualify(t)} ADD PRIMARY KEY ({quote(c)})" for t, c in self.primary_keys),
-            *(f"CREATE INDEX ON {qualify(t)} ({quote(c)})" for t, c in self.indexes),
+            *(f"CREATE INDEX {quote(index_name(t, c))} ON {qualify(t)} ({quote(c)})" for t, c in self.indexes),
             *(f"ALTER TABLE {qualify(t)} ADD FOREIGN KEY ({quote(c)}) REFERENCES {qualify(t2)} ({quote(c2)})" for t, c, t2, c2 in self.foreign_keys),
         ]
 
 
+def index_name(table: str, column: str) -> str:
+    """The same short name for the same column everywhere."""
+    return f"ix_{zlib.crc32(f'{table}.{column}'.encode()):08x}"
+
+
 class Persistor:
     def __init__(self, mode: SaveMode = SaveMode.ERROR) -> None:
         self.mode = _MODES[SaveMode(mode)]
@@ -132,12 +138,27 @@ class ElasticSearchPersistor(Persistor):
         frame.write.format(self.FORMAT).mode(self.mode).options(**self.options(name)).save()
 
 
+#: Columns that keys and indexes use; some databases can't index text of any length.
+KEY_COLUMNS = frozenset(("URI", "datatype", "language", "name", "entity_name", "from_name", "to_name"))
+
+
 class JdbcPersistor(Persistor):
-    """Any database with a JDBC driver on the class path."""
+    """Any database with a JDBC driver on the class path.
+
+    Keys and indexes are run one statement at a time; those that fail are logged and kept in ``failures``, and ``db_strict``
+    makes them an error once all have been tried.
+    """
+
+    #: Type of text columns that keys use, where the database's own text type can't be indexed.
+    KEY_TYPE: str | None = None
+    #: Nulls must be sent with the column's own type, so a nullable text column keeps the database's text type and no key.
+    NULLS_NEED_OWN_TYPE = False
 
     def __init__(self, config: OutputConfig, driver: str | None = None) -> None:
         super().__init__(config.save_mode)
         self.config, self.driver = config, driver or driver_class(config.db_url)
+        self.failures: list[tuple[str, str]] = []
+        self.unkeyed: set[tuple[str, str]] = set()  # (table, column) of the text that this database can't index
 
     def properties(self) -> dict[str, str]:
         c = self.config
@@ -148,12 +169,16 @@ class JdbcPersistor(Persistor):
         return f'"{self.config.db_schema}"."{name}"' if self.config.db_schema else f'"{name}"'
 
     def write_frame(self, name: str, frame: DataFrame) -> None:
-        frame.write.mode(self.mode).jdbc(self.config.db_url, self.qualified(name), properties=self.properties())
+        text = [f for f in frame.schema if f.name in KEY_COLUMNS and isinstance(f.dataType, T.StringType)] if self.KEY_TYPE else []
+        keys = [f.name for f in text if not (f.nullable and self.NULLS_NEED_OWN_TYPE)]
+        self.unkeyed |= {(name, f.name) for f in text if f.name not in keys}
+        own = {"createTableColumnTypes": ", ".join(f"`{k}` {self.KEY_TYPE}" for k in keys)} if keys else {}
+        frame.write.mode(self.mode).jdbc(self.config.db_url, self.qualified(name), properties=self.properties() | own)
 
     def create_indexes(self, indexes) -> None:
         indexes = list(indexes)
         super().create_indexes(indexes)
-        self.execute(Manifest(indexes=indexes).ddl(qualify=self.qualified))
+        self.execute(Manifest(indexes=[x for x in indexes if x not in self.unkeyed]).ddl(qualify=self.qualified))
 
     def create_primary_keys(self, keys) -> None:
         keys = list(keys)
@@ -163,32 +188,43 @@ class JdbcPersistor(Persistor):
     def create_foreign_keys(self, keys) -> None:
         keys = list(keys)
         super().create_foreign_keys(keys)
-        self.execute(Manifest(foreign_keys=keys).ddl(qualify=self.qualified))
+        self.execute(Manifest(foreign_keys=[x for x in keys if x[:2] not in self.unkeyed]).ddl(qualify=self.qualified))
 
-    def execute(self, statements: list[str]) -> bool:
-        """Run statements in one connection through the driver's JVM; a failing one is logged and ends the batch."""
+    def execute(self, statements: list[str]) -> list[tuple[str, str]]:
+        """Run statements in one connection through the driver's JVM; (statement, message) of those that failed."""
+        from py4j.protocol import Py4JJavaError
         from pyspark.sql import SparkSession
 
         if not statements:
-            return True
+            return []
         jvm = SparkSession.active()._jvm
+        jvm.java.lang.Class.forName(self.driver)
+        p = jvm.java.util.Properties()
+        for k, v in self.properties().items():
+            p.setProperty(k, v)
+        failed = []
+        connection = jvm.java.sql.DriverManager.getConnection(self.config.db_url, p)
         try:
-            jvm.java.lang.Class.forName(self.driver)
-            p = jvm.java.util.Properties()
-            for k, v in self.properties().items():
-                p.setProperty(k, v)
-            connection = jvm.java.sql.DriverManager.getConnection(self.config.db_url, p)
-            try:
-                for s in statements:
-                    statement = connection.createStatement()
+            for s in statements:
+                statement = connection.createStatement()
+                try:
                     statement.execute(s)
+                except Py4JJavaError as e:
+                    failed.append((s, str(e.java_exception.getMessage())))
+                    log.warning("failed: %s: %s", *failed[-1])
+                finally:
                     statement.close()
-            finally:
-                connection.close()
-        except Exception as e:  # the tables are there; keys are an extra
-            log.warning("constraints not made: %s", e)
-            return False
-        return True
+        finally:
+            connection.close()
+        self.failures += failed
+        if failed and self.config.db_strict:
+            raise RuntimeError(f"{len(failed)} of {len(statements)} statements failed, the first: {failed[0]}")
+        return failed
+
+
+class DerbyPersistor(JdbcPersistor):
+    KEY_TYPE = "VARCHAR(2000)"
+    NULLS_NEED_OWN_TYPE = True
 
 
 class PostgresPersistor(JdbcPersistor):
@@ -224,6 +260,8 @@ class PostgresPersistor(JdbcPersistor):
 class SqlServerPersistor(JdbcPersistor):
     """Booleans become integers, in place."""
 
+    KEY_TYPE = "VARCHAR(800)"
+
     def write_frame(self, name: str, frame: DataFrame) -> None:
         super().write_frame(name, booleans_to_int(frame))
 
@@ -273,7 +311,7 @@ def persistor(config: OutputConfig) -> Persistor:
     """The sink that a configuration asks for."""
     config.validate()
     if config.target == "DB":
-        kind = {"org.postgresql.Driver": PostgresPersistor, "com.microsoft.sqlserver.jdbc.SQLServerDriver": SqlServerPersistor}.get(driver_class(config.db_url), JdbcPersistor)
+        kind = {"org.postgresql.Driver": PostgresPersistor, "com.microsoft.sqlserver.jdbc.SQLServerDriver": SqlServerPersistor, "org.apache.derby.jdbc.EmbeddedDriver": DerbyPersistor}.get(driver_class(config.db_url), JdbcPersistor)
         return kind(config)
     if config.target == "ES":
         return ElasticSearchPersistor(config.es_index, config.es_create_index)

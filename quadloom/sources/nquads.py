@@ -114,14 +114,14 @@ def handle_errors(parsed: DataFrame, how: ErrorHandling) -> tuple[DataFrame, Dat
 
 def read_quads(spark: SparkSession, path: str, config: ParserConfig | None = None) -> tuple[DataFrame, DataFrame | None]:
     """(quads, bad records or None) of a file or folder, gzipped or not."""
-    from .turtle import parse_turtle_files
+    from .files import parse_files
 
     config = config or ParserConfig()
     how = ErrorHandling(config.error_handling)
     if is_line_based(path, config.line_based):
         quads, bad = handle_errors(parse_lines(spark.read.text(path)), how)
     else:
-        quads, bad = handle_errors(parse_turtle_files(spark, path), how)
+        quads, bad = handle_errors(parse_files(spark, path, config.syntax), how)
     if config.repartition:
         quads = quads.repartition(config.repartition)
     return accepted_language(quads, tuple(config.accepted_languages)), bad

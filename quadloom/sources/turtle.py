@@ -1,4 +1,4 @@
-"""Turtle and TriG, file by file: a tokeniser and a recursive reader, run as an Arrow-batched map over whole files.
+"""Turtle and TriG, file by file: a tokeniser and a recursive reader.
 
 Directives (@base, @prefix, BASE, PREFIX), prefixed and relative names, ``a``, ``;`` and ``,``, all literal forms, blank
 nodes with properties, collections and graph blocks. A statement that can't be read becomes a bad record and reading goes
@@ -11,11 +11,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urljoin
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 from ..config import RDF_TYPE
-from ..session import ship_package
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -226,33 +222,3 @@ class _Reader:
 
 def parse_turtle(text: str, file_id: str = "0") -> Iterator[tuple]:
     return _Reader(text, file_id).read()
-
-
-def parse_turtle_files(spark: SparkSession, path: str) -> DataFrame:
-    """Quads of whole files, plus ``line`` and ``ok`` as ``parse_lines`` has them."""
-    ship_package(spark)
-    files = spark.read.text(path, wholetext=True).select(F.hex(F.xxhash64(F.input_file_name())).alias("id"), "value")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for quad, bad in parse_turtle(text or "", file_id):
-                    rows.append((*(quad or (None,) * 8), bad, bad is None))
-                    if len(rows) >= 10_000:  # a large file leaves in pieces
-                        yield _batch(rows)
-                        rows = []
-                if rows:
-                    yield _batch(rows)
-
-    def _batch(rows):
-        import pyarrow as pa
-
-        kinds = [pa.string()] * 9 + [pa.bool_()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["s", "s_kind", "p", "o", "o_kind", "o_datatype", "o_lang", "g", "line", "ok"])
-
-    from .nquads import QUAD_SCHEMA
-
-    return files.mapInArrow(run, f"{QUAD_SCHEMA}, line string, ok boolean")
