@@ -95,7 +95,7 @@ def _documents(spark, d, name: str, head: str, row, between: str, tail: str) ->
     quads = graph(spark, d, PARTY).withColumn("part", F.pmod(F.xxhash64("s"), F.lit(5)))
     text = quads.groupBy("part").agg(F.concat(F.lit(head), F.array_join(F.collect_list(row), between), F.lit(tail)).alias("value"))
     path = _folder(spark, name)
-    text.repartition(5, "part").select("value").write.text(path)
+    text.write.partitionBy("part").text(path)  # a row, and so a document, for each folder
     return path
 
 
@@ -252,7 +252,7 @@ def q_property_stats(spark, d):
 
 
 _TYPED = {  # datatype: value in Spark, the same in DuckDB, type (null: rejected), canonical value in DuckDB
-    "long": ("cast(l_orderkey * 10000000000 as string)", "cast(l_orderkey * 10000000000 as varchar)", "'LONG'", "cast(l_orderkey * 10000000000 as varchar)"),
+    "long": ("cast((l_orderkey + 1) * 10000000000 as string)", "cast((l_orderkey + 1) * 10000000000 as varchar)", "'LONG'", "cast((l_orderkey + 1) * 10000000000 as varchar)"),
     "boolean": ("case when l_linenumber = 1 then '1' when l_linenumber = 2 then 'false' when l_linenumber = 3 then 'true' else 'yes' end", "case when l_linenumber = 1 then '1' when l_linenumber = 2 then 'false' when l_linenumber = 3 then 'true' else 'yes' end", "case when l_linenumber < 4 then 'BOOLEAN' end", "case l_linenumber when 2 then 'false' else 'true' end"),
     "dateTime": ("concat('2001-02-0', cast(l_linenumber as string), case when l_linenumber > 2 then 'T10:00:00Z' else '' end)", "'2001-02-0' || cast(l_linenumber as varchar) || case when l_linenumber > 2 then 'T10:00:00Z' else '' end", "case when l_linenumber > 2 then 'DATETIME' end", "'2001-02-0' || cast(l_linenumber as varchar) || 'T10:00:00Z'"),
     "float": ("concat(cast(l_linenumber as string), '.5')", "cast(l_linenumber as varchar) || '.5'", "'FLOAT'", "cast(l_linenumber as varchar) || '.5'"),
