@@ -2,7 +2,7 @@
 
 For each document the posterior over languages, and over "und" for text of none of them, is the product of
  - the text's likelihood: naive Bayes over hashed byte trigrams of the whole text, fitted on at most ``sample_docs`` rows
-   that declare a language (chosen by the hash of their id, whole texts; relabelled by the model and fitted once more, so
+   and ``sample_bytes`` of text that declare a language (chosen by the hash of their id and text, whole texts; relabelled by the model and fitted once more, so
    wrong declarations don't stick); "und" is the uniform model;
  - the declared language: how often texts of a language declare it, counted over all documents;
  - the address: a prior for the host, smoothed towards its suffix's, which is smoothed towards the corpus's; all three are
@@ -11,7 +11,8 @@ Rows are scored once; only ids, hosts and scores are joined with the priors, nev
 are first and have one prior row each.
 
 Defined results: null or letterless text has no text evidence and is rejected as "und"; a null or unknown declaration or
-host is no evidence beyond the next level's; equal rows get equal results; an empty table gives no rows.
+host is no evidence beyond the next level's; equal rows get equal results, rows that share an id are judged each on its
+own; texts of any length are scored whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, blocks, materialise, text_bytes
+from .common import arrow_map, blocks, hot_join, materialise, text_bytes
 
 BUCKETS = 1 << 16
 LANGUAGES = ("de", "en", "es", "fr")
 UNKNOWN = "und"
-SAMPLE_DOCS = 2000
+SAMPLE_DOCS, SAMPLE_BYTES = 2000, 16 << 20
 #: Strength of the next level's prior, in documents, and of a count in the table of declarations.
 SMOOTH, DECLARED_SMOOTH = 20.0, 1.0
 #: Prior share of "und".
@@ -93,15 +94,28 @@ def fit(texts: list[str], declared: list[str], languages: tuple[str, ...] = LANG
     return model
 
 
-def sample(docs: DataFrame, text: Column, declared: Column, key: Column, sample_docs: int = SAMPLE_DOCS, languages: tuple[str, ...] = LANGUAGES) -> tuple[list[str], list[str]]:
-    """Texts and declarations of at most ``sample_docs`` rows, in equal shares by language: those of the least key hash."""
-    each = max(1, sample_docs // len(languages))
-    ids = docs.select(F.xxhash64(key).alias("h"), F.lower(F.substring(declared, 1, 2)).alias("d"))
-    chosen = [r["h"] for x in languages for r in ids.filter(F.col("d") == x).orderBy("h").limit(each).select("h").collect()]
-    rows = docs.select(text.alias("t"), F.lower(F.substring(declared, 1, 2)).alias("d"), F.xxhash64(key).alias("h"))
-    small = docs.sparkSession.createDataFrame([(h,) for h in set(chosen)], "h long")  # at most sample_docs rows
-    got = rows.join(F.broadcast(small), "h", "left_semi").select("t", "d", "h").orderBy("h").limit(sample_docs).collect()
-    return [r["t"] or "" for r in got], [r["d"] or "" for r in got]
+def spoken(declared: Column) -> Column:
+    """The language of a declared tag: its first part, in small letters (``en`` of ``EN-us``; ``enm`` is a language of its own)."""
+    return F.regexp_extract(F.lower(F.trim(declared.cast("string"))), "^([a-z]+)(?:[-_].*)?$", 1)
+
+
+def sample(
+    docs: DataFrame, text: Column, declared: Column, key: Column, sample_docs: int = SAMPLE_DOCS, languages: tuple[str, ...] = LANGUAGES, sample_bytes: int = SAMPLE_BYTES
+) -> tuple[list[str], list[str]]:
+    """Texts and declarations of at most ``sample_docs`` rows and ``sample_bytes`` of text, in equal shares by language: those of the least hash of key and text whose texts fit in."""
+    each, share = max(1, sample_docs // len(languages)), sample_bytes // len(languages)
+    rows = docs.select(text.alias("t"), spoken(declared).alias("d"), F.xxhash64(key, text).alias("h"))
+    sized = rows.select("h", "d", F.octet_length("t").alias("b")).filter(F.col("b") <= share)
+    chosen = set()
+    for x in languages:
+        left = share
+        for r in sized.filter(F.col("d") == x).groupBy("h").agg(F.max("b").alias("b")).orderBy("h").limit(each).collect():
+            if r["b"] <= left:
+                left -= r["b"]
+                chosen.add(r["h"])
+    small = docs.sparkSession.createDataFrame([(h,) for h in sorted(chosen)], "h long")  # at most sample_docs rows
+    got = rows.join(F.broadcast(small), "h", "left_semi").dropDuplicates(["h"]).select("t", "d", "h").collect()
+    return [r["t"] or "" for r in sorted(got, key=lambda r: r["h"])], [r["d"] or "" for r in sorted(got, key=lambda r: r["h"])]
 
 
 def score_text(docs: DataFrame, model: TextModel, columns: dict[str, Column], text: Column) -> DataFrame:
@@ -134,8 +148,8 @@ def identify(
     """One row per document: ``keys``, language, probability, text_language, declared, kept (a language of ``languages`` of at least ``least``)."""
     names = (*languages, UNKNOWN)
     model = fit(*sample(docs, text, declared, next(iter(keys.values())), sample_docs, languages), languages)
-    spoken = F.lower(F.substring(declared.cast("string"), 1, 2))
-    evidence = {**keys, "_declared": F.when(spoken.isin(*languages), spoken), "_host": F.coalesce(host.cast("string"), F.lit("")), "_suffix": F.coalesce(suffix.cast("string"), F.lit(""))}
+    said_so = spoken(declared)
+    evidence = {**keys, "_declared": F.when(said_so.isin(*languages), said_so), "_host": F.coalesce(host.cast("string"), F.lit("")), "_suffix": F.coalesce(suffix.cast("string"), F.lit(""))}
     scored = materialise(score_text(docs, model, evidence, text), "language")
 
     # counts over all documents: at most languages x languages numbers, then suffixes, then hosts
@@ -155,8 +169,8 @@ def identify(
     level = by_suffix.select("_suffix", smoothed(F.col("_ns"), [F.lit(x) for x in root]).alias("_ps"))
     priors = host_counts.join(level, "_suffix").select("_suffix", "_host", smoothed(F.col("_nh"), F.col("_ps")).alias("_prior"))
 
-    # written, so that the join deals both sides anew and a hot host's rows can be split
-    fused = scored.join(materialise(priors, "priors"), ["_suffix", "_host"])
+    # a hot host's rows stay where they are
+    fused = hot_join(scored, materialise(priors, "priors"), ["_suffix", "_host"])
     told = F.create_map(*[v for d in languages for v in (F.lit(d), F.array(*[F.lit(said[d, k]) for k in range(len(names))]))])
     logs = F.array(*[
         (F.col("score")[k] if k < len(languages) else F.lit(0.0)) + F.ln(F.col("_prior")[k]) + F.when(F.col("_declared").isNull(), 0.0).otherwise(F.element_at(told, F.coalesce("_declared", F.lit(languages[0])))[k]) for k in range(len(names))
