@@ -73,6 +73,21 @@ def count_by_type(types: DataFrame) -> DataFrame:
     return types.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def facts_by_type(members: DataFrame, literals: DataFrame) -> DataFrame:
+    """type, id, uri and each literal of a member (predicate, ltype, lang, values; null for a member without any), clustered by type.
+
+    One join for all tables: written in ranges of (type, id), so that a table's rows are found by the files' statistics
+    and a type of any size is spread over many ranges.
+    """
+    joined = members.join(literals, "uri", "left").select("type", "id", "uri", "predicate", "ltype", "lang", "values")
+    return joined.repartitionByRange("type", "id").sortWithinPartitions("type", "id")
+
+
+def stats_of(facts: DataFrame) -> DataFrame:
+    """``property_stats`` of the rows of ``facts_by_type``."""
+    return facts.filter("predicate is not null").groupBy("type", "predicate", "ltype", "lang").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.size("values") > 1).alias("multivalued"))
+
+
 def property_stats(types: DataFrame, literals: DataFrame) -> DataFrame:
     """(type, predicate, ltype, lang): n instances that have it, and whether any has several values."""
     return literals.join(types, "uri").groupBy("type", "predicate", "ltype", "lang").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.size("values") > 1).alias("multivalued"))
@@ -118,10 +133,10 @@ def mark_inherited(tables: list[EntityTable], graph: ClassGraph) -> list[EntityT
     return [by_type[t.type] for t in tables]
 
 
-def collect_entity_schema(types: DataFrame, literals: DataFrame, graph: ClassGraph, type_names: dict[str, str], predicate_names: dict[str, str], config: EntityConfig, max_column_length: int = 50, reserved=()) -> EntitySchema:
-    counts = {r["type"]: r["n"] for r in count_by_type(types).collect()}
+def collect_entity_schema(counts: dict[str, int], stats: DataFrame, graph: ClassGraph, type_names: dict[str, str], predicate_names: dict[str, str], config: EntityConfig, max_column_length: int = 50, reserved=()) -> EntitySchema:
+    """``counts``: instances by type; ``stats``: a row per type and property, which is what the driver decides on."""
     found: dict[str, list[Property]] = {}
-    for r in property_stats(types, literals).collect():
+    for r in stats.collect():
         found.setdefault(r["type"], []).append(Property(r["predicate"], r["ltype"], r["lang"], r["multivalued"], r["n"] / counts[r["type"]]))
     tables = []
     for t, n in counts.items():
@@ -149,19 +164,12 @@ def _zero(f: T.StructField) -> Column:
     return F.lit("" if isinstance(f.dataType, T.StringType) else 0).cast(f.dataType)
 
 
-def entity_frame(table: EntityTable, members: DataFrame, literals: DataFrame) -> DataFrame:
-    """ID, URI and the stored columns of a table: one aggregate over the literals of its members. Of several values the least is shown.
-
-    ``members``: id, uri, type; ``literals``: uri, predicate, ltype, lang, values.
-    """
-    rows = members.filter(F.col("type") == table.type).select("id", "uri")
-    columns = table.stored
-    if not columns:
-        return _not_null(rows.select(F.col("id").alias("ID"), F.col("uri").alias("URI")), "ID", "URI")
-    wanted = literals.filter(F.col("predicate").isin(*sorted({c.property.predicate for c in columns})))
-    least = [F.min(F.when(_same_key(c.property), _least_value(c.property.ltype))).alias(c.name) for c in columns]
-    joined = rows.join(wanted, "uri", "left").groupBy("id", "uri").agg(*least)
-    return _not_null(joined.select(F.col("id").alias("ID"), F.col("uri").alias("URI"), *[F.col(f"`{c.name}`") for c in columns]), "ID", "URI")
+def entity_frame(table: EntityTable, facts: DataFrame) -> DataFrame:
+    """ID, URI and the stored columns of a table: one aggregate over its own rows of ``facts_by_type``. Of several values the least is shown."""
+    rows = facts.filter(F.col("type") == table.type)
+    least = [F.min(F.when(_same_key(c.property), _least_value(c.property.ltype))).alias(c.name) for c in table.stored]
+    found = rows.groupBy("id", "uri").agg(*least) if least else rows.select("id", "uri").distinct()
+    return _not_null(found.select(F.col("id").alias("ID"), F.col("uri").alias("URI"), *[F.col(f"`{c.name}`") for c in table.stored]), "ID", "URI")
 
 
 def _least_value(ltype: str) -> Column:
@@ -174,14 +182,15 @@ def subclass_first(tables: list[EntityTable], graph: ClassGraph) -> list[EntityT
     return sorted(tables, key=lambda t: (-place.get(t.type, -1), t.name))
 
 
-def attribute_frame(schema: EntitySchema, members: DataFrame, literals: DataFrame, predicates: DataFrame) -> DataFrame:
-    """ID, predicate, datatype, language, value: literals that are an attribute of at least one of their instance's tables."""
-    spark = members.sparkSession
+def attribute_frame(schema: EntitySchema, facts: DataFrame, predicates: DataFrame) -> DataFrame:
+    """ID, predicate, datatype, language, value: literals that are an attribute of at least one of their instance's tables.
+
+    The rows of ``facts_by_type`` are kept by the small table of attributes, then each literal counts once.
+    """
     keys = sorted({(t.type, p.predicate, p.ltype, p.lang or "") for t in schema.tables for p in t.attributes})
-    wanted = spark.createDataFrame(keys, "type string, predicate string, ltype string, tag string")
-    chosen = members.join(wanted, "type").select("id", "uri", "predicate", "ltype", "tag").distinct()
-    tagged = literals.withColumn("tag", F.coalesce("lang", F.lit("")))
-    rows = chosen.join(tagged, ["uri", "predicate", "ltype", "tag"]).select("id", F.col("predicate").alias("predicate_URI"), "ltype", "lang", F.explode("values").alias("value"))
+    wanted = facts.sparkSession.createDataFrame(keys, "type string, predicate string, ltype string, tag string")
+    rows = facts.filter("predicate is not null").withColumn("tag", F.coalesce("lang", F.lit(""))).join(wanted, ["type", "predicate", "ltype", "tag"], "left_semi")
+    rows = rows.dropDuplicates(["id", "predicate", "ltype", "tag"]).select("id", F.col("predicate").alias("predicate_URI"), "ltype", "lang", F.explode("values").alias("value"))
     out = rows.join(predicates, "predicate_URI").select(F.col("id").alias("ID"), "predicate", F.col("ltype").alias("datatype"), F.col("lang").alias("language"), "value")
     return _not_null(out, "ID", "predicate", "value")
 

@@ -1,6 +1,6 @@
 """Quads to facts: who has which types, which literals and which relations.
 
-One parsed frame is classified once; three aggregates come from it: ``types`` (uri, type), ``literals`` (uri, predicate,
+A frame is classified (once, if it is written before ``facts_of``); three aggregates come from it: ``types`` (uri, type), ``literals`` (uri, predicate,
 ltype, lang, values) and ``relations`` (uri, predicate, object). Values are sorted arrays of distinct canonical texts.
 What can't be converted becomes an instance of the error type that says why; the rest of its subject stays.
 """
@@ -61,8 +61,13 @@ def error_literals(classified: DataFrame) -> DataFrame:
 
 def collect_facts(quads: DataFrame, type_predicates: tuple[str, ...], graph: ClassGraph | None = None, config: InstanceConfig | None = None) -> Facts:
     config = config or InstanceConfig()
-    spark = quads.sparkSession
-    classified = classify(quads, type_predicates, config.default_language)
+    return facts_of(classify(quads, type_predicates, config.default_language), graph, config)
+
+
+def facts_of(classified: DataFrame, graph: ClassGraph | None = None, config: InstanceConfig | None = None) -> Facts:
+    """The aggregates of classified quads; as there are three of them, ``classified`` should be written or cached."""
+    config = config or InstanceConfig()
+    spark = classified.sparkSession
     errors = error_literals(classified)
     none = F.lit(None).cast("string")
 
@@ -74,7 +79,7 @@ def collect_facts(quads: DataFrame, type_predicates: tuple[str, ...], graph: Cla
 
     stated = classified.filter("kind = 'type'").select(F.col("s").alias("uri"), F.col("o").alias("type"))
     if config.add_super_types and graph is not None and graph.edges:
-        closure = graph.closure(spark)  # bounded by the classes, whose number the driver holds anyway
+        closure = graph.closure(spark)
         stated = stated.join(closure, "type", "left").select("uri", F.coalesce("ancestor", "type").alias("type"))
     stated = stated.unionByName(errors.select("uri", F.lit(ERROR_TYPE).alias("type")))
 

@@ -10,13 +10,14 @@ from ..session import materialise
 
 
 def dense_ids(frame: DataFrame, column: str = "uri", out: str = "id") -> DataFrame:
-    """IDs 1, 2, ... in the order of ``column`` (distinct values). Range-sorted once and written; then counts per range give
-    each range's first number, so no task ever holds more than its range."""
-    ranged = materialise(frame.repartitionByRange(F.col(column)).withColumn("_range", F.spark_partition_id()), "ranges")
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    """IDs 1, 2, ... in the order of ``column`` (distinct values). Rows are sorted into ranges once and written, a file per
+    range; a row's place in its file and the number of rows in the ranges before give its ID, so nothing is shuffled again."""
+    ranged = frame.repartitionByRange(F.col(column)).sortWithinPartitions(column).withColumn("_range", F.spark_partition_id())
+    ranged = materialise(ranged, "ranges", options={"maxRecordsPerFile": "0"})
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as partitions
     first = counts.select("_range", F.coalesce(F.sum("_n").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy(column))
-    return ranged.withColumn("_place", place).join(first, "_range").select((F.col("_first") + F.col("_place")).cast("long").alias(out), *frame.columns)
+    placed = ranged.select("*", F.col("_metadata.row_index").alias("_place"))
+    return placed.join(F.broadcast(first), "_range").select((F.col("_first") + F.col("_place") + 1).cast("long").alias(out), *frame.columns)
 
 
 def unique_ids(frame: DataFrame, out: str = "id") -> DataFrame:

@@ -1,7 +1,7 @@
 """The RDF schema of a set of quads: types, predicates, labels and the class graph.
 
-Dictionaries stay frames; the class edges (as many as there are classes) come to the driver, where edges that would close
-a cycle are dropped in the order of their URIs.
+One pass collects what is of the schema's size: predicates, types and class edges. Edges that would close a cycle are
+dropped in the order of their URIs; only edges in or between cycles are looked at for that. The closure is a frame.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import ERROR_PREDICATES, ERROR_TYPE, RDFS_LABEL, RDFS_RESOURCE, RdfConfig
+from ..session import materialise
 from .filters import type_statements
 
 
@@ -24,14 +25,16 @@ class ClassGraph:
         self.supers: dict[str, set[str]] = {c: set() for c in classes}
         self.subs: dict[str, set[str]] = {c: set() for c in classes}
         self.skipped: list[tuple[str, str]] = []
-        for sup, sub in sorted(set(edges)):
-            self.add(sup, sub)
+        ordered = sorted(set(edges))
+        suspect = _in_or_between_cycles(ordered)  # only edges between these can close a cycle
+        for sup, sub in ordered:
+            self.add(sup, sub, sup in suspect and sub in suspect)
 
-    def add(self, sup: str, sub: str) -> bool:
+    def add(self, sup: str, sub: str, check: bool = True) -> bool:
         for c in (sup, sub):
             self.supers.setdefault(c, set())
             self.subs.setdefault(c, set())
-        if sup == sub or sub in self.super_classes(sup):
+        if sup == sub or check and sub in self.super_classes(sup):
             self.skipped.append((sup, sub))
             return False
         self.supers[sub].add(sup)
@@ -84,10 +87,41 @@ class ClassGraph:
         kept = set(classes)
         return ClassGraph([(a, b) for a, b in self.edges if a in kept and b in kept], [c for c in self.classes if c in kept])
 
+    def edge_frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.edges, "super string, sub string")
+
     def closure(self, spark: SparkSession) -> DataFrame:
-        """(type, ancestor) of every class and each of its ancestors, itself included."""
-        rows = [(c, a) for c in self.classes for a in sorted(self.super_classes(c) | {c})]
-        return spark.createDataFrame(rows, "type string, ancestor string")
+        """(type, ancestor) of every class and each of its ancestors, itself included: paths are doubled by joins, so it never stands on the driver."""
+        edges = self.edge_frame(spark)
+        step = edges.select(F.col("sub").alias("type"), F.col("super").alias("ancestor")).distinct()
+        found = materialise(step, "closure")
+        size, before = found.count(), 0
+        while size != before:
+            onward = found.select(F.col("type").alias("ancestor"), F.col("ancestor").alias("above"))
+            found = materialise(found.unionByName(found.join(onward, "ancestor").select("type", F.col("above").alias("ancestor"))).distinct(), "closure")
+            size, before = found.count(), size
+        own = spark.createDataFrame([(c,) for c in self.classes], "type string").select("type", F.col("type").alias("ancestor"))
+        return found.unionByName(own)
+
+
+def _in_or_between_cycles(edges: list[tuple[str, str]]) -> set[str]:
+    """The classes that are left when those without superclasses, then those without subclasses, are taken away again and again."""
+    left = {c for e in edges for c in e}
+    for a, b in ((0, 1), (1, 0)):
+        waiting, onward = dict.fromkeys(left, 0), {c: [] for c in left}
+        for e in edges:
+            if e[a] in left and e[b] in left:
+                waiting[e[b]] += 1
+                onward[e[a]].append(e[b])
+        ready = [c for c, n in waiting.items() if not n]
+        while ready:
+            c = ready.pop()
+            left.discard(c)
+            for x in onward[c]:
+                waiting[x] -= 1
+                if not waiting[x]:
+                    ready.append(x)
+    return left
 
 
 def type_index(quads: DataFrame, config: RdfConfig) -> DataFrame:
@@ -157,12 +191,18 @@ def collect_schema(quads: DataFrame, config: RdfConfig) -> RdfSchema:
     spark = quads.sparkSession
     if config.cache_file and _exists(spark, config.cache_file):
         return load_schema(spark, config.cache_file, config)
-    types = sorted(r[0] for r in type_index(quads, config).collect())
-    predicates = [r[1] for r in sorted(predicate_index(quads).collect())]
+    # one pass for everything whose size is the schema's: predicates, types and class edges
+    is_type, is_sub = (F.col("p").isin(*x) & (F.col("o_kind") == "uri") for x in (config.all_type_predicates, config.all_subclass_predicates))
+    fact = lambda kind, a, b=None: F.struct(F.lit(kind).alias("kind"), a.alias("a"), (F.lit(None).cast("string") if b is None else b).alias("b"))
+    parts = F.array(fact("predicate", F.col("p")), F.when(is_type | is_sub, fact("type", F.col("o"))), F.when(is_sub & (F.col("s_kind") == "uri"), fact("edge", F.col("o"), F.col("s"))))
+    rows = quads.select(F.explode(F.array_compact(parts)).alias("x")).select("x.*").distinct().collect()
+    types = sorted({r["a"] for r in rows if r["kind"] == "type"} | {ERROR_TYPE, RDFS_RESOURCE})
+    predicates = sorted({r["a"] for r in rows if r["kind"] == "predicate"} | set(ERROR_PREDICATES))
     names = {}
-    if config.collect_labels:
+    if config.collect_labels and RDFS_LABEL in predicates:
         names = {r["uri"]: r["label"] for r in labels(quads, spark.createDataFrame([(u,) for u in sorted({*types, *predicates})], "uri string")).collect()}
-    edges = [(r["super"], r["sub"]) for r in class_edges(quads, config).collect()] if config.collect_subclass_graph else []
+    known = set(types)
+    edges = [(r["a"], r["b"]) for r in rows if r["kind"] == "edge" and r["b"] in known] if config.collect_subclass_graph else []
     schema = RdfSchema(config, types, predicates, names, ClassGraph(edges, types))
     if config.cache_file:
         schema.save(spark, config.cache_file)

@@ -22,18 +22,20 @@ class RelationTable:
     predicate: str | None = None
 
 
-def selected_types(config: RelationConfig, graph: ClassGraph) -> Column:
-    """The types (of column types, a sorted array) under which an instance takes part in relations.
+def selected_types(instances: DataFrame, config: RelationConfig, graph: ClassGraph) -> DataFrame:
+    """id, uri, type: the types under which an instance (types: a sorted array) takes part in relations.
 
     One type only where the layout has no types; else, of several, those without superclasses if only roots are asked for.
-    An instance whose several types all have superclasses (possible when supertypes aren't added) takes no part.
+    An instance whose several types all have superclasses (possible when supertypes aren't added) takes no part. The
+    classes with superclasses are a frame, so their number doesn't matter to the plan.
     """
     if config.strategy in (RelationStrategy.PREDICATES, RelationStrategy.SINGLE_TABLE):
-        return F.slice("types", 1, 1)
-    below = [c for c in graph.classes if graph.has_super_classes(c)]
-    if not config.root_types_only or not below:
-        return F.col("types")
-    return F.when(F.size("types") > 1, F.array_except("types", F.array(*[F.lit(c) for c in below]))).otherwise(F.col("types"))
+        return instances.select("id", "uri", F.col("types")[0].alias("type"))
+    every = instances.select("id", "uri", F.size("types").alias("n"), F.explode("types").alias("type"))
+    if not config.root_types_only or not graph.edges:
+        return every.select("id", "uri", "type")
+    below = graph.edge_frame(instances.sparkSession).select(F.col("sub").alias("type"), F.lit(True).alias("below")).distinct()
+    return every.join(below, "type", "left").filter("n = 1 or below is null").select("id", "uri", "type")
 
 
 def relation_rows(relations: DataFrame, instances: DataFrame, predicates: DataFrame, graph: ClassGraph, config: RelationConfig) -> DataFrame:
@@ -41,12 +43,18 @@ def relation_rows(relations: DataFrame, instances: DataFrame, predicates: DataFr
 
     ``instances``: id, uri, types. The join on URIs is left to Catalyst; hot targets are split by AQE.
     """
-    side = instances.select("id", "uri", F.explode(selected_types(config, graph)).alias("type"))
+    side = selected_types(instances, config, graph)
     source = relations.join(side, "uri").select(F.col("object").alias("to_uri"), F.col("predicate").alias("predicate_URI"), F.col("type").alias("from_type"), F.col("id").alias("from_id"))
     target = side.select(F.col("uri").alias("to_uri"), F.col("type").alias("to_type"), F.col("id").alias("to_id"))
     return source.join(target, "to_uri").join(predicates, "predicate_URI").select("predicate", "predicate_URI", "from_type", "from_id", "to_type", "to_id")
 
 
+def clustered(rows: DataFrame) -> DataFrame:
+    """Relation rows in ranges of types and predicate: a table's rows are found by the files' statistics."""
+    keys = ["from_type", "to_type", "predicate_URI"]
+    return rows.repartitionByRange(*keys, "from_id").sortWithinPartitions(*keys, "from_id")
+
+
 def type_pairs(rows: DataFrame) -> DataFrame:
     return rows.select("from_type", "to_type").distinct()
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import StatsConfig
+from ..session import materialise
 from ..operators.stats import count_by, distinct_uris, top_uris
 from ..sources.nquads import read_quads
 
@@ -24,7 +25,7 @@ def run_stats(spark: SparkSession, source: str | DataFrame, config: StatsConfig
     quads = read_quads(spark, source, config.parser)[0] if isinstance(source, str) else source
     out = []
     for name in config.stats:
-        counts = count_by(quads, name)
+        counts = materialise(count_by(quads, name), "counts")  # read once for the top and the total
         out.append(Statistic(name, counts, top_uris(counts), distinct_uris(counts)))
     return out
 

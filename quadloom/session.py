@@ -40,11 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, compression: str = "snappy", partition_by: tuple[str, ...] = ()) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy", options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: lineage is cut and lost executors cost nothing that was done."""
     path = f"{shared_dir(df.sparkSession)}/quadloom/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", compression)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    df.write.option("compression", compression).options(**(options or {})).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,3 +68,9 @@ def storage_level(name: str) -> StorageLevel | None:
 def keep(df: DataFrame, level: str) -> DataFrame:
     found = storage_level(level)
     return df if found is None else df.persist(found)
+
+
+def keep_written(df: DataFrame, level: str) -> DataFrame:
+    """A materialised frame at a storage level: its files are the copy on disk, so only levels that use memory add one."""
+    found = storage_level(level)
+    return df.persist(found) if found is not None and found.useMemory else df
