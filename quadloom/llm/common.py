@@ -91,7 +91,7 @@ def keep_rows(df: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
     return df.join(F.broadcast(wanted) if few(wanted) else wanted, id_col, "left_semi")
 
 
-#: A key is hot beyond this many rows, or beyond a thousandth of all rows if that is more: so at most ``HOT_KEYS`` keys are hot.
+#: A key is hot beyond this many rows; the ``HOT_KEYS`` keys of most rows are taken out of the shuffle, so that much is broadcast at most.
 HOT_ROWS, HOT_KEYS = 2000, 1000
 
 
@@ -101,9 +101,8 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inn
     ``left`` is read more than once, so it should be materialised. ``counts`` (keys and n) spares counting its keys. Every
     key has its rows; none is dropped or capped.
     """
-    limit = max(HOT_ROWS, left.count() // HOT_KEYS)
     counts = counts if counts is not None else left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    hot = counts.filter(F.col("n") > limit).select(*keys).collect()  # at most HOT_KEYS rows
+    hot = counts.filter(F.col("n") > HOT_ROWS).orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys).collect()
     if not hot:
         return left.join(right, keys, how)
     found = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*keys).schema))
